@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.llm import leakage, one_form, splitting, term_frequency
+from codexmill.llm import encoding, leakage, one_form, splitting, term_frequency
 from codexmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_opts"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(table(spark, d, "chunks")).select("chunk_id")
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(table(spark, d, "chunks"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
