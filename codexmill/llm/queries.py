@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.llm import encoding, leakage, near_duplicates, one_form, splitting, term_frequency
+from codexmill.llm import encoding, leakage, near_duplicates, nearest, one_form, splitting, term_frequency
 from codexmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,14 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "chunks"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.similar_pairs(table(spark, d, "vectors"))
+
+
+def p7_most_similar(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.most_similar(table(spark, d, "vectors"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
