@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.llm import encoding, leakage, near_duplicates, nearest, one_form, splitting, term_frequency
+from codexmill.llm import encoding, leakage, near_duplicates, nearest, one_form, scanned, splitting, term_frequency
 from codexmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_opts"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.noise(table(spark, d, "chunks"), table(spark, d, "books"))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.repaired(table(spark, d, "chunks"), table(spark, d, "books"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, d, "books"), table(spark, d, "chunks"))
 
