@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.llm import encoding, leakage, near_duplicates, nearest, one_form, scanned, splitting, term_frequency
+from codexmill.llm import encoding, leakage, near_duplicates, nearest, one_form, packing, scanned, splitting, term_frequency
 from codexmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,14 @@ def p7_most_similar(spark: SparkSession, d: str) -> DataFrame:
     return nearest.most_similar(table(spark, d, "vectors"))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.packed(table(spark, d, "documents"), table(spark, d, "containers")), table(spark, d, "containers"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
