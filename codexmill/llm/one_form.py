@@ -29,6 +29,7 @@ PICTURE = "←-⯿\U0001f000-\U0001faff"
 
 _table = {ord(a): b for a, b in [*zip(CYRILLIC, CYRILLIC_AS, strict=True), *zip(GREEK, GREEK_AS, strict=True)]} | {ord(c): " " for c in HARD_SPACES}
 _wide = {c: unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFFEF) if unicodedata.category(chr(c)) != "Cn" and c != 0xFFA0} | {0x3000: " "}
+_any_wide = re.compile("[　！-￯]")
 # a joiner or selector outside a picture goes as well
 _ignored = re.compile(f"[{IGNORABLE}]|(?<![{PICTURE}️])‍|‍(?![{PICTURE}])|(?<![{PICTURE}])️")
 
@@ -38,8 +39,8 @@ def one_form(text: str | None, fold: bool = False) -> str | None:
     if text is None:
         return None
     if not text.isascii():
-        t = unicodedata.normalize("NFC", text.translate(_wide))
-        t = unicodedata.normalize("NFD", _ignored.sub("", t))  # after the removal: marks may have been kept apart
+        t = text.translate(_wide) if _any_wide.search(text) else text
+        t = unicodedata.normalize("NFD", _ignored.sub("", t) if _ignored.search(t) else t)  # marks may have been kept apart
         text = unicodedata.normalize("NFC", t.translate(_table))
     return text.casefold() if fold else text
 
