@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
 from codexmill.functions.stem import stem, stem_udf
+from codexmill.session import written
 
 K1, B, MATCH_BONUS = 1.2, 0.75, 0.15
 RRF_K, CANDIDATES, HEAD = 20, 200, 12
+#: Queries that are sent to every task at once; more of them are scanned in several passes.
+QUERY_BLOCK = 10_000
 EXACT_BOOST, SNIPPET = 1.5, 320
 
 
@@ -125,15 +128,23 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_hits(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, min_cosine: float = 0.0, only: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, cosine, rank): exact scan of all vectors for a stated set of queries.
 
-    queries: query_id, q. The queries travel to the vectors in one block a task (NumPy products over Arrow batches);
-    each task keeps its k best, and those are merged. Cosines below min_cosine don't count.
+    queries: query_id, q. The queries travel to the vectors in blocks of QUERY_BLOCK (NumPy products over Arrow
+    batches); each task keeps its k best, and those are merged. Cosines below min_cosine don't count.
     """
     v = vectors if only is None else vectors.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    size = queries.count()
-    if size > 20_000:
-        raise ValueError("exact scan is for up to 20,000 queries; use an index for more")
-    asked = [(r["query_id"], r["q"]) for r in queries.where("q is not null").collect()]
-    sent = queries.sparkSession.sparkContext.broadcast(asked)
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        part = queries.where("q is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        sent = spark.sparkContext.broadcast([(r["query_id"], r["q"]) for r in part.select("query_id", "q").collect()])
+        got = v.select("chunk_id", "q").mapInPandas(_scanner(sent, k, min_cosine), "query_id long, chunk_id long, cosine double")
+        found = got if found is None else found.unionAll(got)
+    return top(found.withColumn("cosine", F.round("cosine", 6)), k, "cosine")
+
+
+def _scanner(sent, k: int, min_cosine: float):
+    """A task's scan of its vectors for a block of queries."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -149,18 +160,19 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, min
             if not len(b):
                 continue
             chunk = b["chunk_id"].to_numpy()
-            cos = q @ np.stack(b["q"].to_numpy()).astype(np.float32).T / np.float32(1.0)
-            for lo in range(0, len(ids), 1024):
-                r, c = np.nonzero(cos[lo : lo + 1024] >= min_cosine * 16129.0)
-                part = pd.DataFrame({"query_id": ids[lo + r], "chunk_id": chunk[c], "cosine": cos[lo + r, c].astype(np.float64) / 16129.0})
-                best = part if best is None else pd.concat((best, part))
+            cos = q @ np.stack(b["q"].to_numpy()).astype(np.float32).T 
+            floor = np.full(len(ids), min_cosine * 16129.0)
+            if cos.shape[1] > k:  # what can be among the k best of this batch, ties included
+                floor = np.maximum(floor, np.partition(cos, -k, axis=1)[:, -k])
+            r, c = np.nonzero(cos >= floor[:, None])
+            part = pd.DataFrame({"query_id": ids[r], "chunk_id": chunk[c], "cosine": cos[r, c].astype(np.float64) / 16129.0})
+            best = part if best is None else pd.concat((best, part))
             if best is not None and len(best) > 4 * k * len(ids):
                 best = best.sort_values(["cosine", "chunk_id"], ascending=[False, True]).groupby("query_id").head(k)
         if best is not None and len(best):
             yield best.sort_values(["cosine", "chunk_id"], ascending=[False, True]).groupby("query_id").head(k)
 
-    found = v.select("chunk_id", "q").mapInPandas(scan, "query_id long, chunk_id long, cosine double")
-    return top(found.withColumn("cosine", F.round("cosine", 6)), k, "cosine")
+    return scan
 
 
 def fuse(lists: list[tuple[DataFrame, float]]) -> DataFrame:
@@ -256,7 +268,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = No
     queries may carry q, the quantised vector of the query. Chunks of deleted documents (doc_id) never come out.
     """
     live = chunks if deleted is None else chunks.join(deleted.select("doc_id").distinct(), "doc_id", "left_anti")
-    posting = postings(live, stems)
+    posting = written(postings(live, stems), "postings")  # read for frequencies, lengths and lists
     lexical = bm25(queries, posting, lengths(posting, live), stems=stems)
     if vectors is None or "q" not in queries.columns:
         return refine(lexical, live, queries, options)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from codexmill.functions import text as T
 from codexmill.functions.stem import stem_udf
 from codexmill.operators import chunking, history, incremental, maintain, metrics, search
-from codexmill.sources.tables import latest, table
+from codexmill.session import written
+from codexmill.sources.tables import latest, table, texts
 from codexmill.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,7 @@ def query(f: Query) -> Query:
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks: one chunk a document."""
-    return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("ord"), "text", "lang")
+    return texts(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("ord"), "text", "lang")
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -41,8 +42,9 @@ def units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str, stems: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The corpus and its index; postings are built once and written, as every part of a search reads them."""
     c = corpus(spark, d)
-    p = search.postings(c, stems)
+    p = written(search.postings(c, stems), "postings")
     return c, p, search.lengths(p, c)
 
 
@@ -60,12 +62,12 @@ def tokens_per_doc(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return search.term_stats(index(spark, d)[1])
+    return search.term_stats(search.postings(corpus(spark, d)))
 
 
 @query
 def postings_tf(spark: SparkSession, d: str) -> DataFrame:
-    return index(spark, d)[1]
+    return search.postings(corpus(spark, d))
 
 
 @query
@@ -225,7 +227,7 @@ def lang_flags(spark: SparkSession, d: str) -> DataFrame:
 @query
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     html = F.concat(F.lit("<html><style>p {}</style><h1>"), F.col("title"), F.lit("</h1>\n<p>"), F.replace(F.col("text"), F.lit("\n"), F.lit("<br/>")), F.lit("</p><script>x = 1\n</script> &lt;end&gt;</html>"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.html_to_text(html).alias("text"))
+    return texts(spark, d, "documents").where("text is not null").select("doc_id", T.html_to_text(html).alias("text"))
 
 
 @query

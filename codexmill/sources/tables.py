@@ -11,6 +11,20 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than those, as small tables of long texts do.
+
+    A table of many files is left as it is, so a large one is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def texts(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table whose rows take long to work through, such as texts."""
+    return spread(table(spark, root, name))
+
+
 def latest(df: DataFrame, keys: list[str], by: str | Column, *ties: str) -> DataFrame:
     """Per key the row with the greatest `by`; null `by` loses, ties go to the smallest `ties` columns.
 
