@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.llm import encoding, leakage, near_duplicates, nearest, one_form, packing, scanned, splitting, term_frequency
-from codexmill.sources.tables import table
+from codexmill.sources.tables import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return term_frequency.marked_terms(table(spark, d, "tokens")).where("mark is not null").select("term", "mark")
+    return term_frequency.marked_terms(texts(spark, d, "tokens")).where("mark is not null").select("term", "mark")
 
 
 def p1_term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return term_frequency.term_counts(table(spark, d, "tokens"))
+    return term_frequency.term_counts(texts(spark, d, "tokens"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,27 +30,27 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return scanned.noise(table(spark, d, "chunks"), table(spark, d, "books"))
+    return scanned.noise(texts(spark, d, "chunks"), table(spark, d, "books"))
 
 
 def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return scanned.repaired(table(spark, d, "chunks"), table(spark, d, "books"))
+    return scanned.repaired(texts(spark, d, "chunks"), table(spark, d, "books"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, d, "books"), table(spark, d, "chunks"))
+    return near_duplicates.near_duplicates(table(spark, d, "books"), texts(spark, d, "chunks"))
 
 
 def p5_documents(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.near_duplicate_documents(table(spark, d, "documents"))
+    return near_duplicates.near_duplicate_documents(texts(spark, d, "documents"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.garbled(table(spark, d, "chunks")).select("chunk_id")
+    return encoding.garbled(texts(spark, d, "chunks")).select("chunk_id")
 
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.garbled(table(spark, d, "chunks"))
+    return encoding.garbled(texts(spark, d, "chunks"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,27 +62,27 @@ def p7_most_similar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed(table(spark, d, "documents"), table(spark, d, "containers"))
+    return packing.packed(texts(spark, d, "documents"), table(spark, d, "containers"))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill(packing.packed(table(spark, d, "documents"), table(spark, d, "containers")), table(spark, d, "containers"))
+    return packing.fill(packing.packed(texts(spark, d, "documents"), table(spark, d, "containers")), table(spark, d, "containers"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leakage.leaks(texts(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaked_spans(texts(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return one_form.look_alikes(table(spark, d, "documents"))
+    return one_form.look_alikes(texts(spark, d, "documents"))
 
 
 def p10_classes(spark: SparkSession, d: str) -> DataFrame:
-    return one_form.form_classes(table(spark, d, "documents"))
+    return one_form.form_classes(texts(spark, d, "documents"))
 
 
 def queries() -> dict[str, Query]:
