@@ -34,6 +34,8 @@ from codexmill.sources.tables import latest
 BUCKETS = 22
 #: Bits of the filter of candidate classes: 2^FILTER / 8 bytes are broadcast.
 FILTER = 23
+#: Sets whose keys one task holds, about.
+SETS = 50_000
 #: Pairs that are worked out at once in a task.
 BLOCK = 2_000_000
 #: Classes of equal sets with up to so many records are expanded into all their pairs; of larger ones, every record is
@@ -345,7 +347,8 @@ def _classes(prepared: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     spark: SparkSession = prepared.sparkSession
     counts, sizes = _count(prepared, plan)
     light, boundary = choose(counts, sizes, plan.num / plan.den)
-    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 2)
+    # a task holds the keys of about so many sets, whatever the setting
+    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 2, int(sizes.sum()) // SETS)
     plan = Plan(plan.make, plan.num, plan.den, plan.smallest, light, boundary, parts)
     table = spark.sparkContext.broadcast(np.minimum(counts, 255).astype(np.uint8))  # 2^BUCKETS bytes
     del counts
