@@ -1,13 +1,16 @@
 """Pages of documents to chunks: furniture by repetition and page numbers, pieces, packing with overlap.
 
 units: (doc_id, unit_no, text), one row per page or section. The relational parts are expressions and windows; the
-fold of one document into overlapping chunks runs per document, as each chunk depends on where the last one ended.
+fold into overlapping chunks follows the order of a document, as each chunk depends on where the last one ended.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -103,73 +106,81 @@ def _lang(text: str) -> int:
 Piece = tuple[str, int, int]  # text, unit, flags
 
 
-def _pieces(kept: list[tuple[int, str]], o: ChunkOptions) -> list[Piece]:
-    """Kept lines as paragraphs: blank lines and turns between prose and code part them; long ones are cut."""
-    blocks: list[tuple[int, list[str], int]] = []
-    fresh = True
+def _pieces(kept: Iterable[tuple[int, str]], o: ChunkOptions) -> Iterator[Piece]:
+    """Kept lines as paragraphs: blank lines, new units and turns between prose and code part them."""
+    held: list[str] = []
+    at, flags = 0, 0
     for unit, line in kept:
-        if not line.strip():
-            fresh = True
-            continue
         f = _line_flags(line)
-        if fresh or blocks[-1][0] != unit or (blocks[-1][2] ^ f) & T.CODE:
-            blocks.append((unit, [], 0))
-        fresh = False
-        u, held, flags = blocks[-1]
-        held.append(line)
-        blocks[-1] = u, held, flags | f
-    out: list[Piece] = []
-    for unit, held, flags in blocks:
-        text = "\n".join(held).strip()
-        if not _worth(text):
-            continue
-        flags |= _lang(text)
-        if len(text) <= 2 * o.chars:
-            out.append((text, unit, flags))
-            continue
-        lined = flags & (T.CODE | T.TABLE)
-        part: list[str] = []
-        for s in [*(text.split("\n") if lined else sentences(text)), None]:
-            if part and (s is None or sum(map(len, part)) + len(s) > o.chars):
-                whole = ("\n" if lined else " ").join(part).strip()
-                if _worth(whole):
-                    out.append((whole, unit, flags))
-                part = []
-            if s is not None:
-                part.append(s)
-    return out
-
-
-def _chunks(pieces: list[Piece], o: ChunkOptions) -> list[tuple[str, int, int, int]]:
-    """(text, first unit, last unit, flags): pieces packed up to chars, each chunk taking up the tail of the last."""
-    out, i = [], 0
-    while i < len(pieces):
-        size, j = len(pieces[i][0]), i + 1
-        while j < len(pieces) and size + len(pieces[j][0]) <= o.chars:
-            size += len(pieces[j][0])
-            j += 1
-        group = pieces[i:j]
-        if size >= o.min_chars or not out:
+        blank = not line.strip()
+        if held and (blank or unit != at or (flags ^ f) & T.CODE):
+            yield from _cut("\n".join(held).strip(), at, flags, o)
+            held, flags = [], 0
+        if not blank:
+            held.append(line)
+            at, flags = unit, flags | f
+    if held:
+        yield from _cut("\n".join(held).strip(), at, flags, o)
+
+
+def _cut(text: str, unit: int, flags: int, o: ChunkOptions) -> Iterator[Piece]:
+    """A paragraph, if it is worth it; one of more than twice the size by lines (code, tables) or sentences."""
+    if not _worth(text):
+        return
+    flags |= _lang(text)
+    if len(text) <= 2 * o.chars:
+        yield text, unit, flags
+        return
+    lined = flags & (T.CODE | T.TABLE)
+    part: list[str] = []
+    for s in [*(text.split("\n") if lined else sentences(text)), None]:
+        if part and (s is None or sum(map(len, part)) + len(s) > o.chars):
+            whole = ("\n" if lined else " ").join(part).strip()
+            if _worth(whole):
+                yield whole, unit, flags
+            part = []
+        if s is not None:
+            part.append(s)
+
+
+def _chunks(pieces: Iterable[Piece], o: ChunkOptions) -> Iterator[tuple[str, int, int, int]]:
+    """(text, first unit, last unit, flags): pieces packed up to chars, each chunk taking up the tail of the last.
+
+    Only the pieces of the chunk being filled are held, so a document may be of any length.
+    """
+    held: list[Piece] = []
+    some = False
+
+    def give() -> Iterator[tuple[str, int, int, int]]:
+        nonlocal some
+        if sum(len(p[0]) for p in held) >= o.min_chars or not some:
+            some = True
             flags = 0
-            for p in group:
+            for p in held:
                 flags |= p[2]
-            out.append(("\n\n".join(p[0] for p in group), group[0][1], group[-1][1], flags))
-        again, back = j, 0
+            yield "\n\n".join(p[0] for p in held), held[0][1], held[-1][1], flags
+        again, back = len(held), 0
         if o.chars > o.step:
-            for k in range(j - 1, i, -1):
-                back += len(pieces[k][0])
+            for k in range(len(held) - 1, 0, -1):
+                back += len(held[k][0])
                 if back >= o.chars - o.step:
                     again = k
                     break
-        i = max(again, i + 1)
-    return out
+        del held[:again]
+
+    for p in pieces:
+        while held and sum(len(x[0]) for x in held) + len(p[0]) > o.chars:
+            yield from give()
+        held.append(p)
+    while held:
+        yield from give()
 
 
 def chunk(units: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
     """(doc_id, ord, unit_from, unit_to, flags, text): the chunks of every document.
 
-    Running headers, contents and page numbers go first, as joins; what is left of a document is folded by a task of
-    its own group. Null texts count as empty units; documents without a worthwhile line have no chunks.
+    Running headers, contents and page numbers go first, as joins; what is left of a document streams
+    through a task in order, which holds no more than a unit and a chunk of it. Null texts count as empty units; documents without a worthwhile line have no chunks.
     """
     all_lines = lines(units.withColumn("text", F.coalesce("text", F.lit(""))))
     normal = T.normal_line(F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))
@@ -182,9 +193,17 @@ def chunk(units: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame
     kept = all_lines.withColumn("norm", normal).join(toc_units(units).select("doc_id", "unit_no"), ["doc_id", "unit_no"], "left_anti").join(drop.withColumn("head", F.lit(True)), ["doc_id", "norm"], "left").join(offs, "doc_id", "left")
     kept = kept.where(~(F.coalesce("head", F.lit(False)) & (F.trim("line") != ""))).where(~F.coalesce(number, F.lit(False))).where(~F.col("line").rlike(T.TOC_LINE))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["unit_no", "line_no"])
-        rows = _chunks(_pieces(list(zip(group["unit_no"], group["line"], strict=True)), options), options)
-        return pd.DataFrame([(group["doc_id"].iloc[0], k, a, b, f, t) for k, (t, a, b, f) in enumerate(rows)], columns=["doc_id", "ord", "unit_from", "unit_to", "flags", "text"])
-
-    return kept.select("doc_id", "unit_no", "line_no", "line").groupBy("doc_id").applyInPandas(fold, "doc_id long, ord int, unit_from int, unit_to int, flags int, text string")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for b in batches for r in zip(b["doc_id"], b["unit_no"], b["line"], strict=True))
+        out = []
+        for doc, of_doc in groupby(rows, key=itemgetter(0)):
+            for k, (t, a, b, f) in enumerate(_chunks(_pieces(((u, x) for _, u, x in of_doc), options), options)):
+                out.append((doc, k, a, b, f, t))
+                if len(out) >= 1000:
+                    yield pd.DataFrame(out, columns=["doc_id", "ord", "unit_from", "unit_to", "flags", "text"])
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "ord", "unit_from", "unit_to", "flags", "text"])
+
+    ordered = kept.select("doc_id", "unit_no", "line_no", "line").repartition("doc_id").sortWithinPartitions("doc_id", "unit_no", "line_no")
+    return ordered.mapInPandas(fold, "doc_id long, ord int, unit_from int, unit_to int, flags int, text string")
