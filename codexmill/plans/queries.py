@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
+from codexmill.functions.diff import diff_ops, diff_stat
 from codexmill.functions.stem import stem_udf
-from codexmill.operators import chunking, history, incremental, maintain, metrics, search
+from codexmill.operators import chunking, embedding, history, incremental, maintain, metrics, search
 from codexmill.session import written
 from codexmill.sources.tables import latest, table, texts
 from codexmill.streaming import ingest
@@ -422,6 +423,21 @@ def daily_windows(spark: SparkSession, d: str) -> DataFrame:
     return ingest.windowed(table(spark, d, "events"), "ts", "1 day", "event_type").select(F.unix_micros("window_start").alias("start_us"), "event_type", "events", F.round("value_sum", 2).alias("value_sum"))
 
 
+@query
+def line_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Superseded texts of chunks against the current ones."""
+    old = table(spark, d, "chunks").where("chunk_id is not null").groupBy("chunk_id").agg(F.min_by("text", F.struct("written_at", "text")).alias("old"))
+    both = old.join(current(spark, d).select("chunk_id", F.col("text").alias("new")), "chunk_id").where(~F.col("old").eqNullSafe(F.col("new")))
+    return both.select("chunk_id", diff_stat(diff_ops("old", "new")).alias("s")).select("chunk_id", "s.added", "s.removed")
+
+
+@query
+def embed_missing(spark: SparkSession, d: str) -> DataFrame:
+    c, books = current(spark, d), maintain.registry(table(spark, d, "books"))
+    vectors = table(spark, d, "vectors").where("q is not null")
+    return embedding.embed_missing(c, books, vectors, embedding.word_hashing(64), "emb-multi-2")
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.changed_since_success(table(spark, d, "listings"), table(spark, d, "runs")).select("run_id", "path")

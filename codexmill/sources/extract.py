@@ -1,4 +1,4 @@
-"""Text extraction from files: EPUB packages and HTML pages to (path, unit_no, title, text, error) rows.
+"""Text extraction from files: EPUB packages, PDF files and HTML pages to (path, unit_no, title, text, error) rows.
 
 Files come through Spark's binaryFile source; the parsers run in Arrow batches, and a file that can't be read is a row
 with an error, never a failed job.
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexmill.sources.pdf import read_pdf
+
 # Elements that part blocks, that end a line, and whose content is no text.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p div pre blockquote table ul ol section article".split())
 BREAKS = frozenset("br tr li dt dd".split())
@@ -182,6 +184,9 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 elif kind == "html":
                     page = read_html(bytes(data))
                     rows.append((path, kind, page.title.strip(), "", 1, page.title.strip() or first_heading(page.text()), page.text(), None))
+                elif kind == "pdf":
+                    title, author, pages = read_pdf(bytes(data))
+                    rows += [(path, kind, title, author, k, first_heading(text), text, None) for k, text in enumerate(pages, 1)]
                 else:
                     raise ValueError(f"no reader for {kind}")
             except ValueError as x:
