@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codexmill.llm import encoding, leakage, near_duplicates, nearest, one_form, packing, scanned, splitting, term_frequency
 from codexmill.sources.tables import table, texts

@@ -7,6 +7,8 @@ characters. Each piece then looks back for its overlap. All of it is built-in co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,8 @@ def boundary_pattern(step: Column) -> Column:
     return F.when(step < 8, small).otherwise(strong)
 
 
-def _pieces() -> Column:
-    """array<struct<piece_no, start, text>> from columns text, chars, step, min_chars (a text longer than chars)."""
+def _pieces() -> tuple[Column, Callable[[], Column]]:
+    """(column ends, array<struct<piece_no, start, text>> that uses it) from text, chars, step, min_chars."""
     cuts = F.regexp_extract_all("text", boundary_pattern(F.col("step")), F.lit(0))
     # running ends by one fold over the lengths
     ends = F.aggregate(F.transform(cuts, lambda s: F.length(s)), F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
@@ -68,8 +70,6 @@ def _pieces() -> Column:
 
 def current_sizes(chunks: DataFrame, opts: DataFrame, default: str = "default") -> DataFrame:
     """Current chunks longer than the chars of their collection, with these options; the text is measured as stored."""
-    from pyspark.sql import Window
-
     kept = chunks.select("chunk_id", "collection", "text", "written_at")
     o = effective_options(opts, default).withColumn("__c", F.col("collection")).drop("collection")
     # the few rows that could matter are found before the shuffle: a chunk whose every row is short needs no text

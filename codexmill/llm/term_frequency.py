@@ -9,20 +9,22 @@ from __future__ import annotations
 
 import os
 import shutil
-import tempfile
+import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexmill.session import shared_dir
 from codexmill.sources.tables import latest
 
 #: Rows of partial counts that DuckDB aggregates at once; a larger partition is split by further hash bits.
 SPLIT_ROWS = 4_000_000
 #: Hash bits per split.
 BITS = 4
-#: DuckDB's memory per task; beyond it, it spills to the task's own folder, which Spark removes with the executor.
+#: DuckDB's memory per task; beyond it, it spills to a folder of its own under the shared one, removed with the task.
 MEMORY = "256MB"
 
 COUNTS = "term string, occurrences long, chunks long"
@@ -76,13 +78,19 @@ def _radix(con, table: str, shift: int, rows: int) -> Iterator[pa.RecordBatch]:
         con.execute(f"drop table {part}")
 
 
-def _aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _aggregate(batches: Iterator[pa.RecordBatch], shared: str | None) -> Iterator[pa.RecordBatch]:
+    """Final counts of one partition. shared: the folder to spill to; without one DuckDB keeps to memory."""
     import duckdb
 
-    folder = tempfile.mkdtemp(prefix="radix-")  # under Spark's own local folders of this executor, as its shuffle spill
+    folder = os.path.join(shared, f"radix-{uuid.uuid4().hex}") if shared else None
     try:
-        con = duckdb.connect(os.path.join(folder, "spill.db"))
-        con.execute(f"set memory_limit='{MEMORY}'; set threads=1; set temp_directory='{folder}/tmp'; set preserve_insertion_order=false")
+        if folder:
+            os.makedirs(folder)
+            con = duckdb.connect(os.path.join(folder, "spill.db"))
+            con.execute(f"set memory_limit='{MEMORY}'; set temp_directory='{folder}/tmp'")
+        else:
+            con = duckdb.connect()
+        con.execute("set threads=1; set preserve_insertion_order=false")
         con.execute("create table partial (term varchar, occurrences bigint, chunks bigint)")
         rows = 0
         for batch in batches:
@@ -96,7 +104,8 @@ def _aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from pa.Table.from_batches([got]).cast(schema).to_batches()
         con.close()
     finally:
-        shutil.rmtree(folder, ignore_errors=True)
+        if folder:
+            shutil.rmtree(folder, ignore_errors=True)
 
 
 def term_counts(tokens: DataFrame, shortest: int = 2, longest: int = 40) -> DataFrame:
@@ -109,7 +118,9 @@ def term_counts(tokens: DataFrame, shortest: int = 2, longest: int = 40) -> Data
     partial = current_terms(tokens).mapInArrow(lambda it: _partial(it, shortest, longest), COUNTS)
     radix = F.pmod(F.xxhash64("term"), F.lit(1 << 16))
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return partial.repartition(n, radix).mapInArrow(_aggregate, COUNTS)
+    where = urlparse(shared_dir(tokens.sparkSession))
+    shared = where.path if where.scheme in ("", "file") else None  # DuckDB spills to mounted folders only
+    return partial.repartition(n, radix).mapInArrow(lambda it: _aggregate(it, shared), COUNTS)
 
 
 def marked_terms(tokens: DataFrame, rare_below: int = 3, common_above: float = 0.28) -> DataFrame:
