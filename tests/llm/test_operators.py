@@ -171,6 +171,25 @@ def test_misreadings():
     assert scanned.misreadings("cat", "dog") is None and scanned.misreadings("same", "same") == 0
 
 
+def test_both_sides_of_a_misreading_have_one_shape():
+    for a, b in scanned.MISREAD:
+        assert "".join(scanned.SHAPES[c] for c in a) == "".join(scanned.SHAPES[c] for c in b)
+
+
+def test_all_double_misreadings_are_candidates(spark):
+    def once(w):
+        return {w[: m.start()] + b + w[m.end() :] for a, b in scanned.MISREAD for m in re.finditer(re.escape(a), w)}
+
+    printed = ["deletes", "channel", "vermont", "modul", "table", "index", "windows", "buffers", "goroutine", "dictionaries", "канал", "цикл", "поток", "функция", "рекурсия", "множество", "переменная", "vemexiti"]
+    pairs = {(r, w) for w in printed for x in once(w) for r in {x} | once(x) if r != w and r not in printed}
+    limit = lambda w: 2 if len(w) < 6 else 3 if len(w) < 9 else 4
+    want = {(r, w) for r, w in pairs if scanned.distance(r, w) <= limit(w) and abs(len(r) - len(w)) <= 2}
+    words = spark.createDataFrame([(w, 1000) for w in printed] + [(r, 1) for r in {r for r, _ in pairs}], "word string, n long")
+    got = {(r.read, r.printed) for r in scanned.candidates(words).collect()}
+    assert ("dclctes", "deletes") in want and len(want) > 500
+    assert want <= got, (len(want - got), sorted(want - got)[:5])
+
+
 # --- problem 5
 
 
