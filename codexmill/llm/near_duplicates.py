@@ -38,9 +38,11 @@ FILTER = 23
 SETS = 50_000
 #: Pairs that are worked out at once in a task.
 BLOCK = 2_000_000
-#: Classes of equal sets with up to so many records are expanded into all their pairs; of larger ones, every record is
-#: paired with the smallest id, and only that stands for them in pairs with other texts.
-EXPAND = 200
+#: Records of a class that one task pairs at once with those of its own or a similar class.
+PART = 200
+#: None: every pair comes out, however many records have equal sets. A number asks for a shorter result: of larger
+#: classes, every record is paired with the smallest id only, and that stands for them in pairs with other texts.
+EXPAND: int | None = None
 
 Maker = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -381,15 +383,22 @@ def prepare_books(books: DataFrame) -> DataFrame:
 
 
 def _pairs(members: DataFrame, similar: DataFrame) -> DataFrame:
-    """(id_a, id_b): pairs of records of one class or of similar classes; see EXPAND for very large classes."""
-    sized = members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("head"))
-    known = members.join(sized, "class").where(f"n > 1 or id = head")
+    """(id_a, id_b): pairs of records of one class or of similar classes; see EXPAND for a shorter result.
+
+    The records of a class are dealt to parts of about PART, so that no task has all pairs of a large class.
+    """
+    sized = members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("head")).withColumn("parts", F.ceil(F.col("n") / PART))
+    known = members.join(sized, "class").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    small = "true" if EXPAND is None else f"n <= {EXPAND}"
     several = known.where("n > 1")
-    stars = several.where(f"n > {EXPAND} and id <> head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b"))
-    usable = known.where(f"n <= {EXPAND} or id = head").select("class", "id")
-    few = several.where(f"n <= {EXPAND}").select("class", "id")
-    equal = few.select("class", F.col("id").alias("id_a")).join(few.select("class", F.col("id").alias("id_b")), "class").where("id_a < id_b").select("id_a", "id_b")
-    x = similar.join(usable.select(F.col("class").alias("a"), F.col("id").alias("i")), "a").join(usable.select(F.col("class").alias("b"), F.col("id").alias("j")), "b")
+    stars = several.where(f"not ({small}) and id <> head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b"))
+    usable = known.where(f"{small} or id = head").select("class", "id", "part")
+    few = several.where(small)
+    left = few.select("class", F.explode(every).alias("part"), F.col("id").alias("id_a"))
+    equal = left.join(few.select("class", "part", F.col("id").alias("id_b")), ["class", "part"]).where("id_a < id_b").select("id_a", "id_b")
+    spread = similar.join(sized.select(F.col("class").alias("b"), "parts"), "b").select("a", "b", F.explode(every).alias("part"))
+    x = spread.join(usable.select(F.col("class").alias("a"), F.col("id").alias("i")), "a").join(usable.select(F.col("class").alias("b"), "part", F.col("id").alias("j")), ["b", "part"])
     return stars.unionAll(equal).unionAll(x.where("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")))
 
 
@@ -401,8 +410,7 @@ def near_duplicate_chunks(chunks: DataFrame, limit: tuple[int, int] = (3, 5), sm
     """(id_a, id_b), id_a < id_b: current chunks whose sets of three consecutive words reach the limit (a fraction).
 
     Null and short texts are in no pair; texts of any length are taken whole; repeated and superseded rows don't
-    count; an empty table gives no rows. Chunks with equal sets form a class: see EXPAND for classes too large to be
-    listed pair by pair.
+    count; an empty table gives no rows. Chunks with equal sets are all paired, so n of them give n (n - 1) / 2 rows.
     """
     return _pairs(*_classes(prepare_chunks(chunks), Plan(word_sets, *limit, smallest)))
 

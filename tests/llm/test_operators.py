@@ -233,6 +233,21 @@ def test_books_and_copies(spark, monkeypatch):
     assert near_duplicates.near_duplicate_books(spark.createDataFrame([], BOOKS)).count() == 0
 
 
+def test_large_classes_are_paired_in_full(spark, words):
+    # equal sets of differently stored titles, more than 200 of them, and similar ones beside them
+    spelled = ["The Same Book of Channels", "THE SAME BOOK OF CHANNELS!", "the same, book of: channels"]
+    rows = [(i, i, f"/p{i}", spelled[i % 3], "A. Author", "ok") for i in range(1, 231)] + [(i, i, f"/q{i}", "The Same Book of Channel", "A. Author", "ok") for i in range(300, 303)]
+    rows.append((400, 400, "/r", "Another Title", None, "ok"))
+    got = [tuple(r) for r in near_duplicates.near_duplicate_books(spark.createDataFrame(rows, BOOKS)).collect()]
+    near = [*range(1, 231), *range(300, 303)]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for k, a in enumerate(near) for b in near[k + 1 :]}
+    text = " ".join(words[:40])
+    rows = [chunk(i, text.upper() if i % 2 else text) for i in range(210)] + [chunk(500, text + " " + words[50])]
+    got = [tuple(r) for r in near_duplicates.near_duplicate_chunks(spark.createDataFrame(rows, CHUNKS)).collect()]
+    near = [*range(210), 500]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for k, a in enumerate(near) for b in near[k + 1 :]}
+
+
 # --- problem 6
 
 WORKS = ["Библиотека открывает сегмент и хранит частичный планировщик.", "После обновления “façade” показал — résumé готово."]
