@@ -98,9 +98,8 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_phrase_boost(spark: SparkSession, d: str) -> DataFrame:
     c, p, n = index(spark, d)
-    short = items(spark, d).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 4), " "))
-    best = search.top(search.bm25(short, p, n), 50).select("query_id", "chunk_id", "score")
-    return search.top(search.boost_exact(best, c, short), 8).select("query_id", "rank", "chunk_id", "score", "exact")
+    best = search.top(search.bm25(items(spark, d), p, n), 8 * search.HEAD).select("query_id", "chunk_id", "score")
+    return search.top(search.boost_exact(best, c, items(spark, d)), 8).select("query_id", "rank", "chunk_id", "score", "exact")
 
 
 @query

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexmill.operators import chunking, history, maintain, metrics, search
+from codexmill.plans import queries
 
 CHUNK = "chunk_id long, doc_id long, ord int, text string"
 
@@ -24,6 +25,22 @@ def test_bm25_by_hand(spark, chunks):
     assert rows[2].score > rows[1].score
 
 
+def test_phrase_boost_takes_whole_items_and_96_hits(spark, tmp_path):
+    # the item has six words; documents with all of them in another order are shorter, so better by BM25
+    item = "alpha beta gamma delta epsilon zeta"
+    rows = [(i, "zeta epsilon delta gamma beta alpha") for i in range(70)] + [(70, item.title() + " tail"), (71, "alpha beta gamma delta tail")] + [(i, "filler words only") for i in range(100, 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = sorted(queries.queries()["bm25_phrase_boost"](spark, str(tmp_path)).collect(), key=lambda r: r.rank)
+    c, p, n = queries.index(spark, str(tmp_path))
+    scores = {r.chunk_id: r.score for r in search.bm25(queries.items(spark, str(tmp_path)), p, n).collect()}
+    head = sorted(scores, key=lambda i: (-scores[i], i))[:96]
+    assert 70 not in head[:50] and 70 in head
+    texts = dict(rows)
+    want = sorted(((-round(scores[i] * (1.5 if item in texts[i].lower() else 1), 4), i) for i in head))[:8]
+    assert [(r.chunk_id, r.score, r.exact) for r in got] == [(i, -s, i == 70) for s, i in want] and got[0].chunk_id == 70
+
+
 def test_stems_join_forms(spark, chunks):
     q = spark.createDataFrame([(1, "канала")], "query_id long, text string")
     got = search.hybrid(q, chunks).collect()
