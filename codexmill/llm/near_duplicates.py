@@ -424,19 +424,23 @@ def near_duplicate_documents(documents: DataFrame, limit: tuple[int, int] = (4,
     """(doc_id, class_id, links): documents by runs of five words at a similarity of 0.8.
 
     class_id is the smallest doc_id of the documents with the same set of runs, links the number of other classes it
-    is similar to. Documents of fewer words than a run are in no class.
+    is similar to. Documents of fewer words than a run have a class by their normalised text, those without a word one
+    of their own, and no links.
     """
 
     def make(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h, row, _, _ = word_hashes(column)
         return distinct_per_row(*grams(h, row, words))
 
-    text = F.regexp_replace(F.lower("text"), "[^\\p{L}\\p{Nd}]+", " ")
+    text = F.trim(F.regexp_replace(F.lower("text"), "[^\\p{L}\\p{Nd}]+", " "))
     rows = documents.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.lit(None).cast("timestamp").alias("at"), text.alias("text"))
     members, similar = _classes(rows, Plan(make, *limit, 1))
     links = similar.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     heads = members.groupBy("class").agg(F.min("id").alias("class_id"))
-    return members.join(heads, "class").join(links, "class", "left").select(F.col("id").alias("doc_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    found = members.join(heads, "class").join(links, "class", "left").select(F.col("id").alias("doc_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    short = rows.join(members.select("id"), "id", "left_anti").groupBy("id").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
+    same = short.where("text <> ''").groupBy("text").agg(F.min("id").alias("class_id"))
+    return found.unionAll(short.join(same, "text", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def near_duplicates(books: DataFrame, chunks: DataFrame) -> DataFrame:

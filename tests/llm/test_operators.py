@@ -233,6 +233,13 @@ def test_books_and_copies(spark, monkeypatch):
     assert near_duplicates.near_duplicate_books(spark.createDataFrame([], BOOKS)).count() == 0
 
 
+def test_documents_without_a_run_have_a_class(spark):
+    long = "one two three four five six"
+    rows = [(1, "Two words"), (2, "two, WORDS!"), (3, "other words"), (4, None), (5, ""), (6, " .\n"), (7, long), (8, long.upper()), (None, "two words"), (9, " two words two words ")]
+    got = sorted(tuple(r) for r in near_duplicates.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 0), (2, 1, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 7, 0), (9, 9, 0)]
+
+
 def test_large_classes_are_paired_in_full(spark, words):
     # equal sets of differently stored titles, more than 200 of them, and similar ones beside them
     spelled = ["The Same Book of Channels", "THE SAME BOOK OF CHANNELS!", "the same, book of: channels"]
