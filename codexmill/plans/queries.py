@@ -11,7 +11,7 @@ from codexmill.functions import text as T
 from codexmill.functions.diff import diff_ops, diff_stat
 from codexmill.functions.stem import stem_udf
 from codexmill.operators import chunking, embedding, history, incremental, maintain, metrics, search
-from codexmill.session import written
+from codexmill.session import scratch, written
 from codexmill.sources.tables import latest, table, texts
 from codexmill.streaming import ingest
 
@@ -442,5 +442,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.changed_since_success(table(spark, d, "listings"), table(spark, d, "runs")).select("run_id", "path")
 
 
+@query
+def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.replayed(table(spark, d, "books"), "at_sec", table(spark, d, "runs"), scratch(spark, "ledger"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -163,6 +163,7 @@ ORACLE = {
         x as (select o.*, r.status = 'ok' ok from o join runs r using (run_id)),
         p as (select *, last_value(case when ok then {'s': size, 'm': mtime} end ignore nulls) over (partition by path order by run_id rows between unbounded preceding and 1 preceding) seen from x)
         select run_id, path from p where seen is null or seen.s <> size or seen.m <> mtime""",
+    "p4_ledger": """select run_id, seq from (select b.seq, (select min(r.run_id) from runs r where r.status = 'ok' and b.at_sec <= floor(epoch(r.finished_at))) run_id from books b where b.seq is not null) where run_id is not null""",
 }
 
 

@@ -49,10 +49,7 @@ def ingest_rows(spark: SparkSession, folder: str, schema: StructType, ledger: Le
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        todo = ledger.load().pending(batch.dropDuplicates([ledger.seq])).cache()
-        if not todo.isEmpty():
-            ledger.commit(transform(todo), todo)
-        todo.unpersist()
+        ledger.process(batch, lambda rows: transform(rows.dropDuplicates([ledger.seq])))
 
     available(stream, f"{ledger.root}/checkpoint", write)
 

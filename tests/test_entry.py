@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUICK = ["bm25_topk", "p4_found", "sync_pending", "idle_islands", "repeated_lines", "ols_fit"]
+QUICK = ["bm25_topk", "p4_found", "p4_ledger", "sync_pending", "idle_islands", "repeated_lines", "ols_fit"]
 
 
 def test_contract(spark):
