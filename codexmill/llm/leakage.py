@@ -1,8 +1,10 @@
 """Evaluation texts that leaked into training texts.
 
-Method: suffix arrays over the training words. Each shard (a batch of documents in a task) is a sequence of word
-numbers; its suffixes are sorted by prefix doubling, and every suffix of every evaluation text is looked up by binary
-search. Matches are extended to their full verbatim length and reported with their place.
+Method: suffix arrays of the training words. Each shard (a bounded stretch of documents) is a sequence of word numbers
+whose suffixes are sorted by prefix doubling; every suffix of every evaluation text is looked up in every shard by
+binary search, which gives ranges of the array. Within a range the places are ordered by the word before them, so
+only those where a match begins are taken out of it. Matches are extended to their full verbatim length by ranks of
+doubled lengths and reported with their place.
 """
 
 from __future__ import annotations
@@ -14,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm._words import grams, slices, word_hashes
+from codexmill.llm._words import slices, word_hashes
+from codexmill.session import written
 
-#: Evaluation words that are sent to every task at once; more of them are searched in several passes (bytes: 8 each).
+#: Evaluation words that are sent to every task at once; more of them are searched in several passes (bytes: 16 each).
 BLOCK_WORDS = 2_000_000
 
 SPANS = "doc_id long, item_id long, words long, doc_word long, item_word long"
+#: A shard: ids and first words of its documents, its distinct words, and by place the number of the word and the
+#: order of the suffixes, with the class that each shares with those of the same first words.
+SHARDS = "docs binary, begins binary, names binary, numbers binary, suffixes binary, classes binary"
 
 
 def normalised(column: str):
@@ -27,98 +33,166 @@ def normalised(column: str):
     return F.trim(F.regexp_replace(F.lower(column), "[^\\p{L}\\p{Nd}]+", " "))
 
 
-def suffix_order(words: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(suffix array up to `depth` words, its doubling ranks): suffixes in order of their first `depth` words."""
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
-    done = 1
+def _doubled(rank: np.ndarray, step: int) -> np.ndarray:
+    """Ranks of twice the length (or `step` more words), from 1; beyond the end stands 0."""
+    nxt = np.zeros_like(rank)
+    nxt[: len(rank) - step] = rank[step:] if step < len(rank) else 0
+    return np.unique(rank * (int(rank.max(initial=0)) + 1) + nxt, return_inverse=True)[1].astype(np.int64) + 1
+
+
+def suffix_order(numbers: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array by the first `depth` words, class of each suffix): equal first words make one class, in order."""
+    rank, done = np.unique(numbers, return_inverse=True)[1].astype(np.int64) + 1, 1
     while done < depth:
         step = min(done, depth - done)
-        nxt = np.zeros_like(rank)
-        nxt[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (len(words) + 2) + nxt, return_inverse=True)[1].astype(np.int64) + 1
+        rank = _doubled(rank, step)
         done += step
-    return np.argsort(rank, kind="stable"), [rank]
-
-
-def search(words: np.ndarray, row: np.ndarray, test: np.ndarray, test_row: np.ndarray, least: int) -> np.ndarray:
-    """Maximal common runs of at least `least` words between texts and tests.
-
-    Rows of the result: text row, test row, length, first word in the text, first word in the test (counted in the
-    shard). Words are hashes; texts and tests are parted by numbers that occur nowhere else.
-    """
-    if len(words) < least or len(test) < least:
-        return np.zeros((5, 0), np.int64)
-    # words that no test holds can be in no match: they and ends of texts break the sequence
-    names = np.unique(test)
-    at = np.searchsorted(names, words)
-    at[at == len(names)] = 0
-    num = np.where(names[at] == words, at.astype(np.int64) + 1, 0)
-    held = num > 0
-    # only stretches of enough such words can match; the suffix array is built over them
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], (held).view(np.int8), [0]))))
-    begin, stop = edge[::2], edge[1::2]
-    long = stop - begin >= least
-    keep = np.zeros(len(words) + 1, np.int32)
-    np.add.at(keep, begin[long], 1)
-    np.add.at(keep, stop[long], -1)
-    place = np.flatnonzero(np.cumsum(keep[:-1]) > 0)
-    if not len(place):
-        return np.zeros((5, 0), np.int64)
-    gap = np.concatenate(([False], (np.diff(place) > 1) | (row[place[1:]] != row[place[:-1]])))
-    text = np.insert(num[place], np.flatnonzero(gap), 0)
-    origin = np.insert(place, np.flatnonzero(gap), -1)
-    # one sequence of the shard and of the tests; every break is a number of its own
-    tests = np.searchsorted(names, test) + 1
-    cut = np.flatnonzero(np.concatenate(([False], test_row[1:] != test_row[:-1])))
-    tests, torigin = np.insert(tests, cut, 0), np.insert(np.arange(len(test)), cut, -1)
-    n = len(text)
-    joint = np.concatenate((text, [0], tests)).astype(np.int64)
-    zero = np.flatnonzero(joint == 0)
-    joint[zero] = len(names) + 1 + np.arange(len(zero))
-    order, (rank,) = suffix_order(joint, least)
-    shard = order[order < n]
-    keys = rank[shard]
-    probe = np.arange(n + 1, len(joint))
-    lo, hi = np.searchsorted(keys, rank[probe], "left"), np.searchsorted(keys, rank[probe], "right")
-    hit = hi > lo
-    count = (hi - lo)[hit]
-    b = np.repeat(probe[hit], count)
-    a = shard[np.repeat(lo[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    if not len(a):
-        return np.zeros((5, 0), np.int64)
-    # maximal runs: those whose words before differ; then their length by doubling the step while it holds
-    first = (a == 0) | (joint[np.maximum(a - 1, 0)] != joint[np.maximum(b - 1, 0)])
-    a, b = a[first], b[first]
-    length = np.full(len(a), least)
-    live = np.arange(len(a))
-    while len(live):
-        x, y = a[live] + length[live], b[live] + length[live]
-        ok = (x < n) & (y < len(joint))
-        ok[ok] = joint[x[ok]] == joint[y[ok]]
-        live = live[ok]
-        length[live] += 1
-    where, there = origin[a], torigin[b - n - 1]
-    return np.stack((row[where], test_row[there], length, where, there))
-
-
-def _find(batches: Iterator[pa.RecordBatch], items: list[tuple[np.ndarray, np.ndarray]], ids: list[np.ndarray], least: int) -> Iterator[pa.RecordBatch]:
-    # a cheap filter in front of the sort: a text that shares no run of words with a test can't match
-    known = [np.unique(grams(w, r, least)[0]) for w, r in items]
-    starts = [np.searchsorted(r, np.arange(len(i)), "left") for (w, r), i in zip(items, ids, strict=True)]
+    return np.argsort(rank, kind="stable"), rank
+
+
+class Shard:
+    """Documents as one sequence of word numbers with its suffix array; the end of each has a number of its own."""
+
+    def __init__(self, numbers: np.ndarray, names: np.ndarray, suffixes: np.ndarray, classes: np.ndarray, depth: int) -> None:
+        self.numbers, self.names, self.suffixes, self.classes, self.depth = numbers, names, suffixes, classes, depth
+
+    @classmethod
+    def of(cls, words: np.ndarray, row: np.ndarray, depth: int) -> Shard:
+        names, number = np.unique(words, return_inverse=True)
+        ends = np.flatnonzero(np.concatenate((row[1:] != row[:-1], [True]))) + 1 if len(words) else np.zeros(0, np.int64)
+        numbers = np.insert(number.astype(np.int64), ends, len(names) + np.arange(len(ends)))
+        return cls(numbers, names, *suffix_order(numbers, depth), depth)
+
+    def _find(self, test: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last + 1) in the suffix array of the suffixes that begin as test does at each place, by binary search."""
+        first = np.flatnonzero(np.concatenate(([True], np.diff(self.classes[self.suffixes]) > 0)))
+        heads = self.suffixes[first]  # one suffix of each class
+        lo, hi = np.zeros(len(places), np.int64), np.full(len(places), len(heads))
+        text = np.concatenate((self.numbers, np.full(self.depth, -1)))
+        while True:
+            live = np.flatnonzero(lo < hi)
+            if not len(live):
+                break
+            mid = (lo[live] + hi[live]) // 2
+            less, same = np.zeros(len(live), bool), np.ones(len(live), bool)
+            for k in range(self.depth):
+                at = np.flatnonzero(same)
+                if not len(at):
+                    break
+                a, b = text[heads[mid[at]] + k], test[places[live[at]] + k]
+                less[at], same[at] = a < b, a == b
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], mid)
+        at = np.minimum(lo, max(len(heads) - 1, 0))
+        found = lo < len(heads)
+        for k in range(self.depth):
+            found &= text[heads[at] + k] == test[places + k]
+        after = np.concatenate((first, [len(self.suffixes)]))
+        return np.where(found, after[at], 0), np.where(found, after[at + 1], 0)
+
+    def search(self, test: np.ndarray, test_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place here, place in test, words): the maximal common runs of at least `depth` words."""
+        none = (np.zeros(0, np.int64),) * 3
+        n = len(test) - self.depth + 1
+        if n <= 0 or not len(self.names) or len(self.numbers) < self.depth:
+            return none
+        at = np.minimum(np.searchsorted(self.names, test), len(self.names) - 1)
+        known = self.names[at] == test
+        beyond = int(self.numbers.max()) + 1
+        numbers = np.where(known, at, beyond + np.arange(len(test)))  # words that are not here equal nothing
+        count = np.concatenate(([0], np.cumsum(known)))
+        places = np.flatnonzero((count[self.depth :] - count[: -self.depth] == self.depth) & (test_row[:n] == test_row[self.depth - 1 :]))
+        if not len(places):
+            return none
+        lo, hi = self._find(numbers, places)
+        hit = hi > lo
+        places, lo, hi = places[hit], lo[hit], hi[hit]
+        if not len(places):
+            return none
+        # a match begins where the words before differ: within a range, all places but those with the word before this one
+        before = np.where(self.suffixes > 0, self.numbers[np.maximum(self.suffixes - 1, 0)], -1)
+        order = np.lexsort((before, self.classes[self.suffixes]))
+        suffixes, before = self.suffixes[order], before[order]
+        own = np.where((places > 0) & (test_row[np.maximum(places - 1, 0)] == test_row[places]), numbers[np.maximum(places - 1, 0)], -2)
+        key = self.classes[suffixes] * (beyond + 3) + before + 2
+        asked = self.classes[suffixes[lo]] * (beyond + 3) + np.minimum(own, beyond) + 2
+        skip_lo, skip_hi = np.searchsorted(key, asked, "left"), np.searchsorted(key, asked, "right")
+        a, b = [], []
+        for x, y in ((lo, np.maximum(skip_lo, lo)), (np.minimum(skip_hi, hi), hi)):
+            many = np.maximum(y - x, 0)
+            b.append(np.repeat(places, many))
+            a.append(suffixes[np.repeat(x, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return a, b, self._lengths(a, b, numbers, test_row)
+
+    def _lengths(self, a: np.ndarray, b: np.ndarray, numbers: np.ndarray, test_row: np.ndarray) -> np.ndarray:
+        length = np.full(len(a), self.depth)
+        live = np.arange(len(a))
+        ends = np.append(np.flatnonzero(test_row[1:] != test_row[:-1]) + 1, len(test_row))
+        end = ends[np.searchsorted(ends, b, "right")]
+        text = np.concatenate((self.numbers, [-1]))
+        for _ in range(64):  # most end soon, word by word
+            x, y = a[live] + length[live], b[live] + length[live]
+            ok = y < end[live]
+            ok[ok] = text[np.minimum(x[ok], len(text) - 1)] == numbers[y[ok]]
+            live = live[ok]
+            if not len(live):
+                return length
+            length[live] += 1
+        # the others by ranks of doubled lengths over both sequences, up while they match and down again
+        stops = np.flatnonzero(test_row[1:] != test_row[:-1]) + 1
+        shift = np.zeros(len(numbers) + 1, np.int64)
+        np.add.at(shift, stops, 1)
+        shift = np.cumsum(shift)
+        top = int(max(self.numbers.max(), numbers.max())) + 1
+        tests = np.insert(numbers, stops, top + np.arange(len(stops)))
+        joint = np.concatenate((self.numbers, [top + len(stops)], tests))
+        here, there = a[live], len(self.numbers) + 1 + b[live] + shift[b[live]]
+        ranks = [np.unique(joint, return_inverse=True)[1].astype(np.int64) + 1]
+        got = length[live]
+
+        def step(level: int, rows: np.ndarray) -> np.ndarray:
+            x, y = here[rows] + got[rows], there[rows] + got[rows]
+            ok = (x + (1 << level) <= len(self.numbers)) & (y + (1 << level) <= len(joint))
+            ok[ok] = ranks[level][x[ok]] == ranks[level][y[ok]]
+            got[rows[ok]] += 1 << level
+            return rows[ok]
+
+        rows, level = np.arange(len(live)), 0
+        while len(rows := step(level, rows)):
+            ranks.append(_doubled(ranks[level], 1 << level))
+            level += 1
+        for level in range(level, -1, -1):
+            step(level, np.arange(len(live)))
+        length[live] = got
+        return length
+
+
+def _build(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Shards of about a slice of text each."""
     for batch in batches:
         text, doc = batch.column("text"), batch.column("doc_id").to_numpy()
         for lo, hi in slices(text):
             h, row, _, _ = word_hashes(text.slice(lo, hi - lo))
-            begin = np.searchsorted(row, np.arange(hi - lo), "left")
-            for (tw, tr), ti, some, ts in zip(items, ids, known, starts, strict=True):
-                g, gr = grams(h, row, least)
-                hits = np.unique(gr[np.isin(g, some)])
-                if not len(hits):
-                    continue
-                keep = np.isin(row, hits)
-                r, t, length, a, b = search(h[keep], row[keep], tw, tr, least)
-                a = np.flatnonzero(keep)[a]
-                yield pa.record_batch({"doc_id": pa.array(doc[lo + r], pa.int64()), "item_id": pa.array(ti[t], pa.int64()), "words": pa.array(length, pa.int64()), "doc_word": pa.array(a - begin[r], pa.int64()), "item_word": pa.array(b - ts[t], pa.int64())})
+            if not len(h):
+                continue
+            used, first = np.unique(row, return_index=True)
+            s = Shard.of(h, row, depth)
+            columns = doc[lo + used], first + np.arange(len(used)), s.names, s.numbers.astype(np.int32), s.suffixes.astype(np.int32), s.classes.astype(np.int32)
+            yield pa.record_batch({c.split()[0]: pa.array([x.tobytes()], pa.binary()) for c, x in zip(SHARDS.split(", "), columns, strict=True)})
+
+
+def _search(batches: Iterator[pa.RecordBatch], test: np.ndarray, test_row: np.ndarray, ids: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
+    starts = np.searchsorted(test_row, np.arange(len(ids)), "left")
+    for batch in batches:
+        for i in range(batch.num_rows):
+            docs, begins, names, numbers, suffixes, classes = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in zip(batch.schema.names, (np.int64, np.int64, np.uint64, np.int32, np.int32, np.int32), strict=True))
+            shard = Shard(numbers.astype(np.int64), names, suffixes.astype(np.int64), classes.astype(np.int64), depth)
+            a, b, words = shard.search(test, test_row)
+            for at in range(0, len(a), 100_000):
+                x, y = a[at : at + 100_000], b[at : at + 100_000]
+                d, t = np.searchsorted(begins, x, "right") - 1, test_row[y]
+                yield pa.record_batch({"doc_id": pa.array(docs[d]), "item_id": pa.array(ids[t]), "words": pa.array(words[at : at + 100_000]), "doc_word": pa.array(x - begins[d]), "item_word": pa.array(y - starts[t])})
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
@@ -127,35 +201,47 @@ def leaked_spans(documents: DataFrame, items: DataFrame, least: int = 12) -> Dat
     Words are runs of letters and digits in lower case. doc_word and item_word are the places of its first word,
     from 0. Null texts, ids and texts of fewer words give nothing; repeated items are each reported. The items are
     the stated set of evaluation texts: they are sent to the tasks in blocks of BLOCK_WORDS words, each searched
-    against all documents, so their number is not bounded by memory.
+    against all shards, so their number is not bounded by memory. With several blocks the shards are written once.
     """
     spark = documents.sparkSession
     tests = items.where("item_id is not null and text is not null").select("item_id", normalised("text").alias("text")).orderBy("item_id")
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", normalised("text").alias("text"))
-    parts, held, ids, size = [], [], [], 0
+    shards = docs.mapInArrow(lambda it: _build(it, least), SHARDS)
+    blocks = _blocks(tests)
+    one, more = next(blocks, None), next(blocks, None)
+    if one is None:
+        return docs.limit(0).selectExpr("doc_id", "0L item_id", "0L words", "0L doc_word", "0L item_word")
 
-    def block() -> None:
-        nonlocal held, ids, size
-        if not held:
-            return
-        w, r, _, _ = word_hashes(pa.array(held, pa.string()))
-        sent = spark.sparkContext.broadcast(([(w, r)], [np.array(ids, np.int64)]))
-        parts.append(docs.mapInArrow(lambda it, sent=sent: _find(it, *sent.value, least), SPANS))
-        held, ids, size = [], [], 0
+    def found(block: tuple[list[str], list[int]]) -> tuple[DataFrame, object]:
+        w, r, _, _ = word_hashes(pa.array(block[0], pa.string()))
+        sent = spark.sparkContext.broadcast((w, r, np.array(block[1], np.int64)))
+        return shards.mapInArrow(lambda it: _search(it, *sent.value, least), SPANS), sent
+
+    if more is None:
+        return found(one)[0]
+    shards = written(shards, "shards")
+    out = None
+    while one:
+        spans, sent = found(one)
+        spans = written(spans, "spans")
+        sent.unpersist()
+        out = spans if out is None else out.unionAll(spans)
+        one, more = more, next(blocks, None)
+    return out
 
+
+def _blocks(tests: DataFrame) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts and ids of evaluation items, about BLOCK_WORDS words at a time."""
+    held, ids, size = [], [], 0
     for item, text in tests.toLocalIterator():
         held.append(text)
         ids.append(item)
         size += text.count(" ") + 1
         if size >= BLOCK_WORDS:
-            block()
-    block()
-    if not parts:
-        return docs.limit(0).selectExpr("doc_id", "0L item_id", "0L words", "0L doc_word", "0L item_word")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+            yield held, ids
+            held, ids, size = [], [], 0
+    if held:
+        yield held, ids
 
 
 def leaks(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:

@@ -76,6 +76,10 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_spans(texts(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.without_leaks(texts(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return one_form.look_alikes(texts(spark, d, "documents"))
 

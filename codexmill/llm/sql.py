@@ -6,6 +6,13 @@ t as (select chunk_id, lower(trim(x.term)) term from (select chunk_id, unnest(te
 counts as (select term, cast(count(*) as bigint) occurrences, cast(count(distinct chunk_id) as bigint) chunks from t where length(term) between 2 and 40 group by term)
 """
 CHUNKS = "cur as (select * from (select *, row_number() over (partition by chunk_id order by written_at desc, text) rn from chunks where chunk_id is not null) where rn = 1)"
+LEAKS = """
+with it as (select item_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ') w from eval_items where text is not null),
+dw as (select doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ') w from documents where text is not null),
+ig as (select item_id, i - 1 q, array_to_string(list_slice(w, i, i + 11), ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) i from it)),
+dg as (select doc_id, i - 1 p, array_to_string(list_slice(w, i, i + 11), ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) i from dw)),
+met as (select doc_id, item_id, p, q from dg join ig using (g))
+"""
 
 ORACLE = {
     "p1_term_counts": TOKENS + "select term, occurrences, chunks from counts",
@@ -13,11 +20,11 @@ ORACLE = {
     + """select term, mark from (select term, case when chunks < 3 then 'rare' when chunks > 0.28 * (select count(distinct chunk_id) from tokens) then 'common' end mark from counts) where mark is not null""",
     "p2_found": f"""with {CHUNKS} select c.chunk_id from cur c left join chunk_opts o on c.collection = o.collection
         where length(c.text) > case when o.chars > 0 then o.chars else (select chars from chunk_opts where collection = 'default') end""",
-    "p9_found": """with it as (select item_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ') w from eval_items where text is not null),
-        dw as (select doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ') w from documents where text is not null),
-        ig as (select distinct item_id, array_to_string(list_slice(w, i, i + 11), ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) i from it)),
-        dg as (select doc_id, array_to_string(list_slice(w, i, i + 11), ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) i from dw))
-        select distinct doc_id, item_id from dg join ig using (g)""",
+    "p9_found": LEAKS + "select distinct doc_id, item_id from met",
+    "p9_clean": LEAKS + "select doc_id from documents where doc_id not in (select doc_id from met)",
+    "p9_spans": LEAKS
+    + """select doc_id, item_id, cast(count(*) + 11 as bigint) words, cast(min(p) as bigint) doc_word, cast(min(q) as bigint) item_word
+        from (select *, p - row_number() over (partition by doc_id, item_id, p - q order by p) island from met) group by doc_id, item_id, p - q, island""",
 }
 
 

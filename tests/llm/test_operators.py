@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 from datetime import datetime, timedelta
@@ -414,3 +415,85 @@ def test_look_alikes(spark):
     classes = {r.doc_id: r.class_id for r in one_form.form_classes(df).collect()}
     assert classes[4] == 1 and classes[5] == 5 and 7 not in classes and 9 not in classes
     assert one_form.look_alikes(df.limit(0)).count() == 0
+
+
+def test_suffix_arrays_against_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        k, (n, m), least = rng.integers(1, 4), rng.integers(0, 40, 2), int(rng.integers(1, 5))
+        w, row = rng.integers(0, k, n).astype(np.uint64), np.sort(rng.integers(0, 4, n))
+        t, tests = rng.integers(0, k, m).astype(np.uint64), np.sort(rng.integers(0, 3, m))
+        a, b, words = leakage.Shard.of(w, row, least).search(t, tests)
+        used, first = np.unique(row, return_index=True)
+        begins = first + np.arange(len(used))
+        got = sorted(zip((a - np.searchsorted(begins, a, "right") + 1).tolist(), b.tolist(), words.tolist(), strict=True))
+        want = []
+        for i in range(n):
+            for j in range(m):
+                if i and j and row[i - 1] == row[i] and tests[j - 1] == tests[j] and w[i - 1] == t[j - 1]:
+                    continue
+                size = 0
+                while i + size < n and j + size < m and row[i + size] == row[i] and tests[j + size] == tests[j] and w[i + size] == t[j + size]:
+                    size += 1
+                if size >= least:
+                    want.append((i, j, size))
+        assert got == sorted(want)
+
+
+def test_equal_words_give_their_maximal_runs_only():
+    words, row = np.full(100_000, 7, np.uint64), np.zeros(100_000, np.int64)
+    began = time.time()
+    a, b, size = leakage.Shard.of(words, row, 12).search(words, row)
+    assert len(a) == 2 * (100_000 - 11) - 1 and size.max() == 100_000 and (size >= 12).all() and not (np.minimum(a, b) > 0).any()
+    assert time.time() - began < 5
+
+
+def test_evaluation_texts_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 15)
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(14))) for i in range(5)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "before " + " ".join(f"w{i}x{k}" for k in range(1, 14)) + " after") for i in range(4)], "doc_id long, text string")
+    assert sorted(map(tuple, leakage.leaked_spans(docs, items).collect())) == [(i, i, 13, 1, 1) for i in range(4)]
+
+
+def test_long_texts_are_split_in_proportion(spark):
+    rng = random.Random(3)
+    took = []
+    opts = spark.createDataFrame([("default", 900, 700, 50)], "collection string, chars int, step int, min_chars int")
+    for n in (400_000, 1_600_000):
+        text = "".join(rng.choice("абвгд еж. зи\n") for _ in range(n))
+        df = spark.createDataFrame([(1, "default", text, None)], "chunk_id long, collection string, text string, written_at timestamp")
+        began = time.time()
+        rows = sorted(splitting.split_oversized(df, opts).collect(), key=lambda r: r.piece_no)
+        took.append(time.time() - began)
+        assert all(text[r.start : r.start + len(r.text)] == r.text and len(r.text) <= 900 for r in rows)
+        ends = [r.start + len(r.text) for r in rows]
+        assert ends[-1] == n and all(b.start <= a for a, b in zip(ends, rows[1:], strict=False))
+    assert took[1] < 12 * took[0] + 5
+
+
+def test_terms_of_tied_and_older_rows_count_once(spark):
+    t = lambda *ws: [(w, i) for i, w in enumerate(ws)]
+    rows = [
+        (1, T0, t("old", "aa")), (1, T0 + timedelta(1), t("aa", "aa", "a\x1fb")), (1, T0 + timedelta(1), t("aa", "aa", "a\x1fb")),
+        (2, T0, t("aa", None, " BB ")), (3, None, None), (4, T0, []), (None, T0, t("aa")),
+    ]
+    df = spark.createDataFrame(rows, "chunk_id long, analyzed_at timestamp, terms array<struct<term string, pos int>>")
+    got = {r.term: (r.occurrences, r.chunks) for r in term_frequency.term_counts(df).collect()}
+    assert got == {"aa": (3, 2), "bb": (1, 1), "a\x1fb": (1, 1)}
+
+
+def test_form_of_ordinary_texts_is_the_same_in_the_jvm(spark):
+    rng = random.Random(2)
+    pool = "abc XYZ абвёй АВЕ ονρ éà №–… \t\n" + " ​­ｆ０́̈ﬁ①ª²"
+    rows = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 6))) for _ in range(2000)] + [c for c in one_form._single] + [None, ""]
+    for fold in (False, True):
+        got = one_form.with_form(spark.createDataFrame([(x,) for x in rows], "text string"), fold=fold).collect()
+        assert all(r.form == one_form.one_form(r.text, fold) for r in got)
+
+
+def test_tasks_of_packing_follow_from_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK", 50)
+    df = spark.createDataFrame([(i, f"some words of text {i}") for i in range(1000)], "doc_id long, text string")
+    kinds = spark.createDataFrame([("c", 64)], "container string, capacity int")
+    p = packing.packed(df, kinds)
+    assert len({r.bin >> 40 for r in p.collect()}) > 15 and p.select("doc_id").distinct().count() == 1000
