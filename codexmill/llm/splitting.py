@@ -7,8 +7,6 @@ characters. Each piece then looks back for its overlap. All of it is built-in co
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,25 +45,43 @@ def boundary_pattern(step: Column) -> Column:
     return F.when(step < 8, small).otherwise(strong)
 
 
-def _pieces() -> tuple[Column, Callable[[], Column]]:
-    """(column ends, array<struct<piece_no, start, text>> that uses it) from text, chars, step, min_chars."""
-    cuts = F.regexp_extract_all("text", boundary_pattern(F.col("step")), F.lit(0))
-    # running ends by one fold over the lengths
-    ends = F.aggregate(F.transform(cuts, lambda s: F.length(s)), F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+#: Pieces whose ends are added up together; keeps the running sum of a long text from copying itself.
+SUMS = 256
+
+
+def _ends(cuts: Column) -> Column:
+    """Running ends of the pieces: sums within blocks of SUMS pieces, then of the blocks."""
+    last = lambda xs: F.coalesce(F.try_element_at(xs, F.lit(-1)), F.lit(0))
+    run = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(last(acc) + n)))
+    sizes = F.transform(cuts, lambda s: F.length(s))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / SUMS).cast("int")), lambda b: run(F.slice(sizes, b * SUMS + 1, F.lit(SUMS))))
+    bases = F.slice(F.concat(F.array(F.lit(0)), run(F.transform(blocks, last))), F.lit(1), F.size(blocks))
+    return F.flatten(F.zip_with(blocks, bases, lambda xs, base: F.transform(xs, lambda x: x + base)))
+
+
+def _pieces(text: DataFrame) -> DataFrame:
+    """text with cuts (the pieces without their overlap), their ends, and p, the pieces; needs chars, step, min_chars.
+
+    Every cut is worked on with the few cuts before it that its overlap can reach, never from the start of the text.
+    """
+    cut = text.withColumn("cuts", F.regexp_extract_all("text", boundary_pattern(F.col("step")), F.lit(0))).drop("text").where(F.size("cuts") > 0)
+    cut = cut.withColumn("ends", _ends(F.col("cuts")))
     want = F.col("chars") - F.col("step")
+    # every cut but the last takes at least half a step, so this many hold `chars` characters
+    reach = (F.ceil(F.col("chars") / F.greatest(F.lit(1), F.floor(F.col("step") / 2))) + 1).cast("int")
 
-    def piece(end: Column, i: Column) -> Column:
-        begin = F.when(i == 0, F.lit(0)).otherwise(F.get("ends", i - 1))
+    def piece(body: Column, i: Column) -> Column:
+        size, begin = F.length(body), F.get("ends", i) - F.length(body)
         # the lookback: the overlap, more of it where the piece would be under min_chars, never beyond chars or the start
-        back = F.when(i == 0, F.lit(0)).otherwise(F.least(begin, F.greatest(want, F.col("min_chars") - (end - begin)), F.col("chars") - (end - begin)))
-        seen = F.substring(F.col("text"), begin - back + 1, back)
+        back = F.when(i == 0, F.lit(0)).otherwise(F.least(begin, F.greatest(want, F.col("min_chars") - size), F.col("chars") - size))
+        before = F.array_join(F.slice("cuts", F.greatest(i - reach + 1, F.lit(1)), F.least(reach, i)), "")
+        seen = F.right(before, back)
         # it starts at a word unless that would take most of it, or the piece under min_chars
         skip = F.length(F.regexp_extract(seen, "^\\S*\\s+", 0))
-        skip = F.when((skip * 2 <= back) & (end - begin + back - skip >= F.col("min_chars")) & (begin - back > 0), skip).otherwise(F.lit(0))
-        start = begin - back + skip
-        return F.struct(i.cast("int").alias("piece_no"), start.cast("int").alias("start"), F.substring(F.col("text"), start + 1, end - start).alias("text"))
+        skip = F.when((skip * 2 <= back) & (size + back - skip >= F.col("min_chars")) & (begin - back > 0), skip).otherwise(F.lit(0))
+        return F.struct(i.cast("int").alias("piece_no"), (begin - back + skip).cast("int").alias("start"), F.concat(F.right(seen, back - skip), body).alias("text"))
 
-    return ends, lambda: F.transform("ends", piece)
+    return cut.withColumn("p", F.explode(F.transform("cuts", piece)))
 
 
 def current_sizes(chunks: DataFrame, opts: DataFrame, default: str = "default") -> DataFrame:
@@ -90,5 +106,4 @@ def split_oversized(chunks: DataFrame, opts: DataFrame, default: str = "default"
     of the default collection, and where that is missing too, nothing is oversized. chunk_opts is a configuration
     table of one row per collection.
     """
-    ends, pieces = _pieces()
-    return current_sizes(chunks, opts, default).withColumn("ends", ends).withColumn("p", F.explode(pieces())).select("chunk_id", "p.piece_no", "p.start", "p.text", "chars")
+    return _pieces(current_sizes(chunks, opts, default)).select("chunk_id", "p.piece_no", "p.start", "p.text", "chars")
