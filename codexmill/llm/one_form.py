@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codexmill.session import written
+
 # Letters that look like a Latin letter, pairwise in order. They apply to decomposed text.
 CYRILLIC, CYRILLIC_AS = "аеорсухіѕјһԁԛԝӏАВЕКМНОРСТУХІЅЈԌԚԜӀ", "aeopcyxisjhdqwlABEKMHOPCTYXISJGQWI"
 GREEK, GREEK_AS = "ονρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovpcjABEZHIKMNOPTYX"
@@ -45,27 +47,43 @@ def one_form(text: str | None, fold: bool = False) -> str | None:
     return text.casefold() if fold else text
 
 
+# Characters whose form depends on no neighbour: Latin, Greek and Cyrillic letters, punctuation. A text of such characters
+# only is brought to its form by replacing single characters, which the JVM does.
+_single = [chr(c) for a, b in ((0x80, 0x250), (0x370, 0x530), (0x2010, 0x2028), (0x2030, 0x2060), (0x20A0, 0x20C1), (0x2100, 0x2150)) for c in range(a, b) if unicodedata.category(chr(c)) not in ("Mn", "Mc", "Me", "Cf", "Cn", "Cc")]
+_single = [c for c in _single if len(one_form(c)) == 1]
+_replaced = [c for c in _single if one_form(c) != c]
+PLAIN = "[^\\x00-\\x7F" + "".join(f"\\x{{{ord(c):X}}}" for c in _single) + "]"
+
+
 def _forms(batches: Iterator[pa.RecordBatch], column: str, fold: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = batch.column(column).dictionary_encode()
+        got = pc.if_else(pc.is_null(batch.column("form")), batch.column(column), None).dictionary_encode()
         forms = pa.array([one_form(x, fold) for x in got.dictionary.to_pylist()], pa.string())
-        yield batch.append_column("form", pc.take(forms, got.indices))
+        form = pc.coalesce(batch.column("form"), pc.take(forms, got.indices))
+        yield batch.set_column(batch.schema.get_field_index("form"), "form", form)
 
 
 def with_form(df: DataFrame, column: str = "text", fold: bool = False) -> DataFrame:
     """df with a column form, the one form of its text. Null and empty texts stay as they are; other columns are kept.
 
-    A column of that name is replaced.
+    A column of that name is replaced. Texts of ordinary characters are done in the JVM, others once per distinct value
+    of a batch.
     """
     df = df.drop("form")
-    return df.mapInArrow(lambda it: _forms(it, column, fold), T.StructType([*df.schema.fields, T.StructField("form", T.StringType())]))
+    simple = F.translate(F.col(column), "".join(_replaced), "".join(map(one_form, _replaced)))
+    if not fold:
+        df = df.withColumn("form", F.when(~F.col(column).rlike(PLAIN), simple))
+    else:
+        df = df.withColumn("form", F.lit(None).cast("string"))
+    return df.mapInArrow(lambda it: _forms(it, column, fold), T.StructType([*df.schema.fields[:-1], T.StructField("form", T.StringType())]))
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
     """Two 64-bit hashes of the form and of the text as stored; nothing of documents without a letter or digit."""
     some = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     hashed = with_form(some).where(F.col("form").rlike("[\\p{L}\\p{Nd}]"))
-    return hashed.select("doc_id", F.xxhash64("form").alias("form_a"), F.xxhash64(F.lit(7), "form").alias("form_b"), F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(7), "text").alias("text_b"))
+    keyed = hashed.select("doc_id", F.xxhash64("form").alias("form_a"), F.xxhash64(F.lit(7), "form").alias("form_b"), F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(7), "text").alias("text_b"))
+    return written(keyed, "forms")  # read several times; texts are worked through once
 
 
 def form_classes(documents: DataFrame) -> DataFrame:
