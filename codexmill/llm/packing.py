@@ -9,6 +9,7 @@ containers with room left stay open for the stretches that follow.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Dimensions and bits of the curve; neighbours that are packed together; containers that stay open beyond them.
 DIMS, CURVE_BITS = 4, 8
 STRETCH, OPEN = 8192, 512
+#: Texts that one task packs, about; the number of tasks follows from that of the texts alone.
+TASK = 4 * STRETCH
 
 _encoders: dict[str, object] = {}
 
@@ -69,8 +72,10 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _measure(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path)
+def _measure(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    from pyspark import SparkFiles
+
+    enc = encoder(SparkFiles.get(name))
     for batch in batches:
         texts = batch.column("text").to_pylist()
         tokens = [len(enc.encode_ordinary(x)) for x in texts]
@@ -141,9 +146,13 @@ def _pack(batches: Iterator[pa.RecordBatch], containers: list[tuple[str, int]])
 
 
 def measured(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens, place on the curve) of every document with a text of at least one token."""
+    """(doc_id, tokens, place on the curve) of every document with a text of at least one token.
+
+    The vocabulary is a file the driver can read; it is sent to the executors, which need not have it.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
     rows = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text", F.regexp_replace(F.lower("text"), "[^\\p{L}\\p{Nd}]+", " ").alias("words"))
-    return rows.mapInArrow(lambda it: _measure(it, vocabulary), "doc_id long, tokens long, place long")
+    return rows.mapInArrow(lambda it: _measure(it, os.path.basename(vocabulary)), "doc_id long, tokens long, place long")
 
 
 def packed(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -154,10 +163,9 @@ def packed(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABU
     configuration table) with a null or not positive capacity are left out. Ranges of the curve are packed apart from
     each other, which leaves a few open bins a task.
     """
-    spark = documents.sparkSession
     kinds = [(r["container"], r["capacity"]) for r in containers.where("container is not null and capacity > 0").select("container", "capacity").distinct().orderBy("container").collect()]
     rows = written(measured(documents, vocabulary), "measured")  # the range sort reads it twice
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), rows.count() // (4 * STRETCH) + 1))
+    parts = rows.count() // TASK + 1
     ordered = rows.repartitionByRange(parts, "place", "doc_id").sortWithinPartitions("place", "doc_id")
     return ordered.mapInArrow(lambda it: _pack(it, kinds), "container string, bin long, doc_id long, piece int, tokens long")
 
