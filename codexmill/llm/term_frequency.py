@@ -13,54 +13,97 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.session import shared_dir
+from codexmill.llm import _filter
+from codexmill.llm._words import mix
+from codexmill.session import shared_dir, written
 from codexmill.sources.tables import latest
 
 #: Rows of partial counts that DuckDB aggregates at once; a larger partition is split by further hash bits.
-SPLIT_ROWS = 4_000_000
+SPLIT_ROWS = 250_000
+#: Rows of partial counts that one task aggregates, about; the number of tasks follows from them.
+TASK_ROWS = 1_000_000
 #: Hash bits per split.
 BITS = 4
-#: DuckDB's memory per task; beyond it, it spills to a folder of its own under the shared one, removed with the task.
+#: DuckDB's memory per task. Where the shared folder is mounted it spills beyond that to a folder of its own there.
 MEMORY = "256MB"
 
 COUNTS = "term string, occurrences long, chunks long"
+#: Partial counts, or a row that only the comparison with others of its chunk can settle.
+FIRST = "term string, occurrences long, chunks long, chunk_id long, analyzed_at timestamp, terms array<string>"
 
 
-def current_terms(tokens: DataFrame) -> DataFrame:
-    """(chunk_id, terms) of the latest analysis of each chunk, terms packed into one string; positions are not carried."""
-    packed = F.array_join(F.transform(F.filter("terms", lambda x: x["term"].isNotNull()), lambda x: F.lower(F.trim(x["term"]))), "\x1f")
-    return latest(tokens.select("chunk_id", "analyzed_at", packed.alias("terms")), ["chunk_id"], "analyzed_at", "terms").select("chunk_id", "terms")
+def _chunk_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    return mix(batch.column("chunk_id").to_numpy().view(np.uint64))
 
 
-def _partial(batches: Iterator[pa.RecordBatch], shortest: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of one task, given out whenever they grow to a bounded size."""
-    held: dict[str, list[int]] = {}
+class _Counter:
+    """Counts of one task, merged whenever they grow to a bounded size."""
 
-    def out() -> pa.RecordBatch:
-        got = pa.record_batch({"term": pa.array(list(held), pa.string()), "occurrences": pa.array([v[0] for v in held.values()], pa.int64()), "chunks": pa.array([v[1] for v in held.values()], pa.int64())})
-        held.clear()
-        return got
+    def __init__(self, shortest: int, longest: int) -> None:
+        self.between, self.parts, self.rows = (shortest, longest), [], 0
+
+    def add(self, lists: pa.Array) -> None:
+        terms, of = lists.flatten(), pc.list_parent_indices(lists)
+        size = pc.utf8_length(terms)
+        ok = pc.and_(pc.greater_equal(size, self.between[0]), pc.less_equal(size, self.between[1]))
+        terms, of = terms.filter(ok).dictionary_encode(), of.filter(ok).to_numpy()
+        if not len(terms):
+            return
+        code, n = terms.indices.to_numpy().astype(np.int64), len(terms.dictionary)
+        within = np.unique(of.astype(np.int64) * n + code) % n
+        self.parts.append(pa.table({"term": terms.dictionary, "occurrences": np.bincount(code, minlength=n), "chunks": np.bincount(within, minlength=n)}))
+        self.rows += n
+        if self.rows > 1_000_000:
+            self.parts = [self.total()]
+            self.rows = self.parts[0].num_rows
+
+    def total(self) -> pa.Table:
+        got = pa.concat_tables(self.parts).group_by("term").aggregate([("occurrences", "sum"), ("chunks", "sum")])
+        return pa.table({"term": got["term"], "occurrences": got["occurrences_sum"], "chunks": got["chunks_sum"]})
+
+    def out(self) -> Iterator[pa.Table]:
+        if self.parts:
+            yield self.total()
+            self.parts, self.rows = [], 0
+
+
+def _partial(batches: Iterator[pa.RecordBatch], counter: _Counter) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counter.add(batch.column("terms"))
+        if counter.rows > 500_000:
+            for t in counter.out():
+                yield from t.to_batches()
+    for t in counter.out():
+        yield from t.to_batches()
+
+
+def _first(batches: Iterator[pa.RecordBatch], counter: _Counter, several: _filter.Filter) -> Iterator[pa.RecordBatch]:
+    """Counts the rows whose chunk surely has no other row; gives the others out as they are."""
+
+    def whole(**columns) -> list[pa.RecordBatch]:
+        n = len(next(iter(columns.values())))
+        kinds = {"term": pa.string(), "occurrences": pa.int64(), "chunks": pa.int64(), "chunk_id": pa.int64(), "analyzed_at": pa.timestamp("us", "UTC"), "terms": pa.list_(pa.string())}
+        return pa.table({c: columns[c].cast(k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()}).to_batches()
 
     for batch in batches:
-        for text in batch.column("terms").to_pylist():
-            if not text:
-                continue
-            words = text.split("\x1f")
-            for w in words:
-                if (n := held.get(w)) is not None:
-                    n[0] += 1
-                elif shortest <= len(w) <= longest:
-                    held[w] = [1, 0]
-            for w in set(words):
-                if (n := held.get(w)) is not None:
-                    n[1] += 1
-        if len(held) > 500_000:
-            yield out()
-    yield out()
+        if not batch.num_rows:
+            continue
+        maybe = pa.array(several.maybe(_chunk_hashes(batch)))
+        counter.add(batch.column("terms").filter(pc.invert(maybe)))
+        rest = batch.filter(maybe)
+        if rest.num_rows:
+            yield from whole(**{c: rest.column(c) for c in ("chunk_id", "analyzed_at", "terms")})
+        if counter.rows > 500_000:
+            for t in counter.out():
+                yield from whole(**{c: t[c] for c in t.column_names})
+    for t in counter.out():
+        yield from whole(**{c: t[c] for c in t.column_names})
 
 
 def _radix(con, table: str, shift: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -79,7 +122,7 @@ def _radix(con, table: str, shift: int, rows: int) -> Iterator[pa.RecordBatch]:
 
 
 def _aggregate(batches: Iterator[pa.RecordBatch], shared: str | None) -> Iterator[pa.RecordBatch]:
-    """Final counts of one partition. shared: the folder to spill to; without one DuckDB keeps to memory."""
+    """Final counts of one partition. shared: the folder to spill to; without one DuckDB keeps to its memory."""
     import duckdb
 
     folder = os.path.join(shared, f"radix-{uuid.uuid4().hex}") if shared else None
@@ -89,7 +132,8 @@ def _aggregate(batches: Iterator[pa.RecordBatch], shared: str | None) -> Iterato
             con = duckdb.connect(os.path.join(folder, "spill.db"))
             con.execute(f"set memory_limit='{MEMORY}'; set temp_directory='{folder}/tmp'")
         else:
-            con = duckdb.connect()
+            con = duckdb.connect()  # TASK_ROWS bounds what a task holds
+            con.execute(f"set memory_limit='{MEMORY}'")
         con.execute("set threads=1; set preserve_insertion_order=false")
         con.execute("create table partial (term varchar, occurrences bigint, chunks bigint)")
         rows = 0
@@ -115,12 +159,21 @@ def term_counts(tokens: DataFrame, shortest: int = 2, longest: int = 40) -> Data
     don't count. Rows with a null chunk_id don't count; null and empty lists have no terms. Repeated and older rows of
     a chunk count once. A term in a third of all chunks is one row per map task when it is shuffled.
     """
-    partial = current_terms(tokens).mapInArrow(lambda it: _partial(it, shortest, longest), COUNTS)
-    radix = F.pmod(F.xxhash64("term"), F.lit(1 << 16))
-    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    counter = lambda: _Counter(shortest, longest)
+    terms = F.coalesce(F.transform(F.filter("terms", lambda x: x["term"].isNotNull()), lambda x: F.lower(F.trim(x["term"]))), F.array().cast("array<string>"))
+    rows = tokens.where("chunk_id is not null").select("chunk_id", F.col("analyzed_at").cast("timestamp").alias("analyzed_at"), terms.alias("terms"))
+    # only the lists of chunks with several rows are shuffled, to find the current one
+    several = _filter.make(rows.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id"), _chunk_hashes)
+    sent = tokens.sparkSession.sparkContext.broadcast(several)
+    first = written(rows.mapInArrow(lambda it: _first(it, counter(), sent.value), FIRST), "counted")
+    current = latest(first.where("chunk_id is not null").select("chunk_id", "analyzed_at", "terms"), ["chunk_id"], "analyzed_at", "terms").select("terms")
+    settled = written(current.mapInArrow(lambda it: _partial(it, counter()), COUNTS), "settled")
+    partial = first.where("term is not null").select("term", "occurrences", "chunks").unionAll(settled)
+    parts = partial.count() // TASK_ROWS + 1
     where = urlparse(shared_dir(tokens.sparkSession))
     shared = where.path if where.scheme in ("", "file") else None  # DuckDB spills to mounted folders only
-    return partial.repartition(n, radix).mapInArrow(lambda it: _aggregate(it, shared), COUNTS)
+    radix = F.pmod(F.xxhash64("term"), F.lit(1 << 32))
+    return partial.repartition(max(parts, min(tokens.sparkSession.sparkContext.defaultParallelism, parts * 8)), radix).mapInArrow(lambda it: _aggregate(it, shared), COUNTS)
 
 
 def marked_terms(tokens: DataFrame, rare_below: int = 3, common_above: float = 0.28) -> DataFrame:
