@@ -12,7 +12,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -47,35 +49,49 @@ def one_form(text: str | None, fold: bool = False) -> str | None:
     return text.casefold() if fold else text
 
 
-# Characters whose form depends on no neighbour: Latin, Greek and Cyrillic letters, punctuation. A text of such characters
-# only is brought to its form by replacing single characters, which the JVM does.
-_single = [chr(c) for a, b in ((0x80, 0x250), (0x370, 0x530), (0x2010, 0x2028), (0x2030, 0x2060), (0x20A0, 0x20C1), (0x2100, 0x2150)) for c in range(a, b) if unicodedata.category(chr(c)) not in ("Mn", "Mc", "Me", "Cf", "Cn", "Cc")]
-_single = [c for c in _single if len(one_form(c)) == 1]
-_replaced = [c for c in _single if one_form(c) != c]
-PLAIN = "[^\\x00-\\x7F" + "".join(f"\\x{{{ord(c):X}}}" for c in _single) + "]"
+#: Marks characters whose form is not one character or depends on their neighbours.
+_OTHER = 0xFFFFFFFF
+
+
+@cache
+def _singles() -> np.ndarray:
+    """By code point the form of a character that depends on no neighbour (letters, digits, punctuation), else _OTHER."""
+    table = np.full(0x110000, _OTHER, np.uint32)
+    table[:0x80] = np.arange(0x80)
+    for begin, end in ((0x80, 0x250), (0x370, 0x530), (0x2010, 0x2028), (0x2030, 0x2060), (0x20A0, 0x20C1), (0x2100, 0x2150)):
+        for c in map(chr, range(begin, end)):
+            if unicodedata.category(c) not in ("Mn", "Mc", "Me", "Cf", "Cn", "Cc") and len(form := one_form(c)) == 1:
+                table[ord(c)] = ord(form)
+    return table
+
+
+def forms(texts: list[str]) -> list[str]:
+    """one_form() of many texts: those of ordinary characters by one table at once, the others one by one."""
+    end = np.cumsum([len(x) for x in texts], dtype=np.int64)
+    codes = _singles()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    other = np.flatnonzero(codes == _OTHER)
+    codes[other] = 0
+    joined = codes.tobytes().decode("utf-32-le", "surrogatepass")
+    out = [joined[i:j] for i, j in zip(np.concatenate(([0], end[:-1])).tolist(), end.tolist(), strict=True)] if texts else []
+    for k in np.unique(np.searchsorted(end, other, "right")).tolist():
+        out[k] = one_form(texts[k])
+    return out
 
 
 def _forms(batches: Iterator[pa.RecordBatch], column: str, fold: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = pc.if_else(pc.is_null(batch.column("form")), batch.column(column), None).dictionary_encode()
-        forms = pa.array([one_form(x, fold) for x in got.dictionary.to_pylist()], pa.string())
-        form = pc.coalesce(batch.column("form"), pc.take(forms, got.indices))
-        yield batch.set_column(batch.schema.get_field_index("form"), "form", form)
+        got = batch.column(column).dictionary_encode()
+        form = forms(got.dictionary.to_pylist())
+        yield batch.append_column("form", pc.take(pa.array([x.casefold() for x in form] if fold else form, pa.string()), got.indices))
 
 
 def with_form(df: DataFrame, column: str = "text", fold: bool = False) -> DataFrame:
     """df with a column form, the one form of its text. Null and empty texts stay as they are; other columns are kept.
 
-    A column of that name is replaced. Texts of ordinary characters are done in the JVM, others once per distinct value
-    of a batch.
+    A column of that name is replaced.
     """
     df = df.drop("form")
-    simple = F.translate(F.col(column), "".join(_replaced), "".join(map(one_form, _replaced)))
-    if not fold:
-        df = df.withColumn("form", F.when(~F.col(column).rlike(PLAIN), simple))
-    else:
-        df = df.withColumn("form", F.lit(None).cast("string"))
-    return df.mapInArrow(lambda it: _forms(it, column, fold), T.StructType([*df.schema.fields[:-1], T.StructField("form", T.StringType())]))
+    return df.mapInArrow(lambda it: _forms(it, column, fold), T.StructType([*df.schema.fields, T.StructField("form", T.StringType())]))
 
 
 def _keyed(documents: DataFrame) -> DataFrame:

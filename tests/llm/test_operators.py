@@ -482,10 +482,10 @@ def test_terms_of_tied_and_older_rows_count_once(spark):
     assert got == {"aa": (3, 2), "bb": (1, 1), "a\x1fb": (1, 1)}
 
 
-def test_form_of_ordinary_texts_is_the_same_in_the_jvm(spark):
+def test_forms_of_many_texts_at_once(spark):
     rng = random.Random(2)
     pool = "abc XYZ абвёй АВЕ ονρ éà №–… \t\n" + " ​­ｆ０́̈ﬁ①ª²"
-    rows = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 6))) for _ in range(2000)] + [c for c in one_form._single] + [None, ""]
+    rows = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 6))) for _ in range(2000)] + [chr(c) for c in range(0x80, 0x2200)] + [None, ""]
     for fold in (False, True):
         got = one_form.with_form(spark.createDataFrame([(x,) for x in rows], "text string"), fold=fold).collect()
         assert all(r.form == one_form.one_form(r.text, fold) for r in got)
