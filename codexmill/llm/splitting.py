@@ -70,18 +70,29 @@ def _pieces(text: DataFrame) -> DataFrame:
     # every cut but the last takes at least half a step, so this many hold `chars` characters
     reach = (F.ceil(F.col("chars") / F.greatest(F.lit(1), F.floor(F.col("step") / 2))) + 1).cast("int")
 
-    def piece(body: Column, i: Column) -> Column:
-        size, begin = F.length(body), F.get("ends", i) - F.length(body)
+    # each step is a list of its own, so that nothing is worked out twice
+    def look_back(body: Column, i: Column) -> Column:
+        size, end = F.length(body), F.get("ends", i)
         # the lookback: the overlap, more of it where the piece would be under min_chars, never beyond chars or the start
-        back = F.when(i == 0, F.lit(0)).otherwise(F.least(begin, F.greatest(want, F.col("min_chars") - size), F.col("chars") - size))
+        back = F.when(i == 0, F.lit(0)).otherwise(F.least(end - size, F.greatest(want, F.col("min_chars") - size), F.col("chars") - size))
+        return F.struct(body.alias("body"), size.alias("size"), end.alias("end"), back.alias("back"))
+
+    def see(x: Column, i: Column) -> Column:
         before = F.array_join(F.slice("cuts", F.greatest(i - reach + 1, F.lit(1)), F.least(reach, i)), "")
-        seen = F.right(before, back)
+        return F.struct(*[x[c].alias(c) for c in ("body", "size", "end", "back")], F.when(x["back"] > 0, F.right(before, x["back"])).otherwise("").alias("seen"))
+
+    def begin(x: Column) -> Column:
         # it starts at a word unless that would take most of it, or the piece under min_chars
-        skip = F.length(F.regexp_extract(seen, "^\\S*\\s+", 0))
-        skip = F.when((skip * 2 <= back) & (size + back - skip >= F.col("min_chars")) & (begin - back > 0), skip).otherwise(F.lit(0))
-        return F.struct(i.cast("int").alias("piece_no"), (begin - back + skip).cast("int").alias("start"), F.concat(F.right(seen, back - skip), body).alias("text"))
+        skip = F.length(F.regexp_extract(x["seen"], "^\\S*\\s+", 0))
+        return F.struct(*[x[c].alias(c) for c in ("body", "size", "end", "back", "seen")], skip.alias("skip"))
+
+    def piece(x: Column, i: Column) -> Column:
+        left = x["end"] - x["size"] - x["back"]
+        skip = F.when((x["skip"] * 2 <= x["back"]) & (x["size"] + x["back"] - x["skip"] >= F.col("min_chars")) & (left > 0), x["skip"]).otherwise(F.lit(0))
+        return F.struct(i.cast("int").alias("piece_no"), (left + skip).cast("int").alias("start"), F.concat(F.substring(x["seen"], skip + 1, x["back"]), x["body"]).alias("text"))
 
-    return cut.withColumn("p", F.explode(F.transform("cuts", piece)))
+    steps = F.transform(F.transform(F.transform("cuts", look_back), see), begin)
+    return cut.withColumn("p", F.explode(F.transform(steps, piece)))
 
 
 def current_sizes(chunks: DataFrame, opts: DataFrame, default: str = "default") -> DataFrame:
