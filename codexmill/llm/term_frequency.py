@@ -49,15 +49,21 @@ class _Counter:
         self.between, self.parts, self.rows = (shortest, longest), [], 0
 
     def add(self, lists: pa.Array) -> None:
-        terms, of = lists.flatten(), pc.list_parent_indices(lists)
-        size = pc.utf8_length(terms)
-        ok = pc.and_(pc.greater_equal(size, self.between[0]), pc.less_equal(size, self.between[1]))
-        terms, of = terms.filter(ok).dictionary_encode(), of.filter(ok).to_numpy()
-        if not len(terms):
+        flat = lists.flatten()
+        there = pc.is_valid(flat)
+        raw, of = flat.filter(there).dictionary_encode(), pc.list_parent_indices(lists).filter(there).to_numpy()
+        # trimmed and in lower case once per distinct term
+        named = pc.utf8_lower(pc.utf8_trim(raw.dictionary, " ")).dictionary_encode()
+        names, n = named.dictionary, len(named.dictionary)
+        if not n:
             return
-        code, n = terms.indices.to_numpy().astype(np.int64), len(terms.dictionary)
+        size = pc.utf8_length(names).to_numpy(zero_copy_only=False)
+        code = named.indices.to_numpy().astype(np.int64)[raw.indices.to_numpy()]
+        ok = ((size >= self.between[0]) & (size <= self.between[1]))[code]
+        code, of = code[ok], of[ok]
         within = np.unique(of.astype(np.int64) * n + code) % n
-        self.parts.append(pa.table({"term": terms.dictionary, "occurrences": np.bincount(code, minlength=n), "chunks": np.bincount(within, minlength=n)}))
+        got = pa.table({"term": names, "occurrences": np.bincount(code, minlength=n), "chunks": np.bincount(within, minlength=n)})
+        self.parts.append(got.filter(pc.greater(got["occurrences"], 0)))
         self.rows += n
         if self.rows > 1_000_000:
             self.parts = [self.total()]
@@ -160,7 +166,7 @@ def term_counts(tokens: DataFrame, shortest: int = 2, longest: int = 40) -> Data
     a chunk count once. A term in a third of all chunks is one row per map task when it is shuffled.
     """
     counter = lambda: _Counter(shortest, longest)
-    terms = F.coalesce(F.transform(F.filter("terms", lambda x: x["term"].isNotNull()), lambda x: F.lower(F.trim(x["term"]))), F.array().cast("array<string>"))
+    terms = F.coalesce(F.col("terms.term"), F.array().cast("array<string>"))
     rows = tokens.where("chunk_id is not null").select("chunk_id", F.col("analyzed_at").cast("timestamp").alias("analyzed_at"), terms.alias("terms"))
     # only the lists of chunks with several rows are shuffled, to find the current one
     several = _filter.make(rows.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id"), _chunk_hashes)
