@@ -1,48 +1,51 @@
 """Near-duplicate records: all pairs of sets whose Jaccard similarity reaches a limit, without comparing all pairs.
 
 Method: a size-aware heavy-light join. Elements are put in one global order, rarer first. Two similar sets share at
-least k of the first |x| - ceil(t|x|) + k elements of each (their prefixes). An element is light if few sets hold it.
+least k of the first |x| - ceil(t|x|) + k elements of each (their prefixes). The inverted list of an element holds the
+sets that have it in their prefix for k = 2; the element is light if that list is short.
 
-* Pairs whose first common element is light meet in the inverted list of that element, which is short.
-* Pairs that share heavy elements only share at least two of them within their prefixes: sets up to a boundary size
-  enumerate their fixed-size subsets (pairs of heavy prefix elements), and equal subsets meet.
+* Pairs that share a light element of these prefixes meet in its list.
+* Other pairs share at least two heavy elements: sets up to a boundary size enumerate their fixed-size subsets (pairs
+  of heavy prefix elements), and equal subsets meet.
 * Beyond the boundary subsets would be too many: these sets, and those large enough to be their partners, scan the
-  inverted lists of their heavy prefix elements.
-
-Both boundaries are chosen by cost from a count sketch of the collection. Meetings are thinned by size, by position
-and by a bit signature, none of which loses a pair, and what remains is checked exactly. Sets that are equal are one
-class throughout, so copies cost one set per task. Frequencies, from which the order comes, are counted over all
-records, in a sketch of fixed size; they steer the cost and never the result.
+  inverted lists of their heavy elements.
+* A list of a subset or of a heavy element that is long is dealt to blocks, and each pair of blocks meets by itself.
+
+Lists are measured exactly, where they come together; the boundary is chosen by cost from the measured lists. Meetings
+are thinned by size, by position and by a bit signature, none of which loses a pair, and what remains is checked
+exactly. Sets that are equal are one class throughout, so copies cost one set per task. The order comes from counts
+over all records in a sketch of fixed size, on a scale of powers, so that it tells frequent from rare elements at any
+size of the collection; it steers the cost and never the result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexmill.llm import _filter
 from codexmill.llm._words import distinct_per_row, grams, mix, slices, word_hashes
 from codexmill.session import written
 from codexmill.sources.tables import latest
 
-#: Buckets of the count sketch: 2^BUCKETS bytes are broadcast.
-BUCKETS = 22
-#: Bits of the filter of candidate classes: 2^FILTER / 8 bytes are broadcast.
-FILTER = 23
+#: Buckets of the count sketch: 2^BUCKETS bytes are broadcast; it is put together in so many ranges.
+BUCKETS, RANGES = 24, 64
+#: A list of up to so many sets is light.
+LIGHT = 200
 #: Sets whose keys one task holds, about.
 SETS = 50_000
 #: Pairs that are worked out at once in a task.
 BLOCK = 2_000_000
+#: Entries of a long list in one block.
+DEAL = 2000
 #: Records of a class that one task pairs at once with those of its own or a similar class.
 PART = 200
-#: None: every pair comes out, however many records have equal sets. A number asks for a shorter result: of larger
-#: classes, every record is paired with the smallest id only, and that stands for them in pairs with other texts.
-EXPAND: int | None = None
 
 Maker = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -73,8 +76,9 @@ class Plan:
     num: int  # the limit is num / den
     den: int
     smallest: int
-    light: int = 0  # elements with a count up to this are light
-    boundary: int = 0  # sets up to this size enumerate subsets
+    light: int = LIGHT
+    deal: int = DEAL
+    boundary: int = 0  # sets up to this size enumerate subsets of heavy elements
     parts: int = 8
 
     def need(self, size: np.ndarray) -> np.ndarray:
@@ -104,78 +108,72 @@ def _sets(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[int, np.ndarray,
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Counts of elements by bucket, and of sets by size, of one task."""
-    counts, sizes, shift = np.zeros(1 << BUCKETS, np.int32), np.zeros(4096, np.int64), np.uint64(64 - BUCKETS)
+    """Counts of elements by bucket, in ranges, and the number of sets, of one task."""
+    counts, sets, shift = np.zeros(1 << BUCKETS, np.int32), 0, np.uint64(64 - BUCKETS)
     for batch in batches:
         for _, g, _, size, _ in _sets(batch, plan):
-            np.add.at(counts, (g >> shift).astype(np.int64), 1)
-            sizes += np.bincount(np.minimum(size[size > 0], 4095), minlength=4096)
-    blob = zlib.compress(np.minimum(counts, 65535).astype(np.uint16).tobytes(), 1)
-    yield pa.record_batch({"k": pa.array([0], pa.int32()), "counts": pa.array([blob], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary())})
+            at, n = np.unique((g >> shift).astype(np.int64), return_counts=True)
+            counts[at] += n.astype(np.int32)
+            sets += int((size > 0).sum())
+    step = len(counts) // RANGES
+    for r in range(RANGES):
+        part = counts[r * step : (r + 1) * step]
+        if part.any() or (r == 0 and sets):
+            yield pa.record_batch({"r": pa.array([r], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), "sets": pa.array([sets if r == 0 else 0], pa.int64())})
+
+
+def _scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte: themselves up to 64, beyond that eight steps for each doubling."""
+    return np.where(counts <= 64, counts, np.minimum(255, 64 + 8 * np.log2(np.maximum(counts, 64) / 64))).astype(np.uint8)
 
 
 def _merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, sizes, any_ = np.zeros(1 << BUCKETS, np.int64), np.zeros(4096, np.int64), False
+    held: dict[int, np.ndarray] = {}
+    sets = 0
     for batch in batches:
-        for c, s in zip(batch.column("counts"), batch.column("sizes"), strict=True):
-            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint16)
-            sizes += np.frombuffer(s.as_py(), np.int64)
-            any_ = True
-    if any_:
-        blob = zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)
-        yield pa.record_batch({"k": pa.array([0], pa.int32()), "counts": pa.array([blob], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary())})
-
-
-def _count(prepared: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """The count sketch of the collection (saturated at 65535) and the number of sets by size, merged as a tree."""
-    schema = "k int, counts binary, sizes binary"
-    got = prepared.mapInArrow(lambda it: _sketch(it, plan), schema)
-    n = max(1, int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 12)
-    if n > 1:
-        got = got.withColumn("k", (F.rand(1) * n).cast("int")).repartition(n, "k").mapInArrow(_merge_sketches, schema)
-    total, sizes = np.zeros(1 << BUCKETS, np.int64), np.zeros(4096, np.int64)
+        sets += sum(batch.column("sets").to_pylist())
+        for r, c in zip(batch.column("r").to_pylist(), batch.column("counts"), strict=True):
+            part = np.frombuffer(zlib.decompress(c.as_py()), np.int32).astype(np.int64)
+            held[r] = held[r] + part if r in held else part
+    for r, part in held.items():
+        yield pa.record_batch({"r": pa.array([r], pa.int32()), "counts": pa.array([_scaled(part).tobytes()], pa.binary()), "sets": pa.array([sets], pa.int64())})
+        sets = 0
+
+
+def _count(prepared: DataFrame, plan: Plan) -> tuple[np.ndarray, int]:
+    """The scaled count sketch of the collection and the number of sets; the driver gets 2^BUCKETS bytes."""
+    schema = "r int, counts binary, sets long"
+    got = prepared.mapInArrow(lambda it: _sketch(it, plan), schema).repartition(16, "r").mapInArrow(_merge_sketches, schema)
+    total, sets, step = np.zeros(1 << BUCKETS, np.uint8), 0, (1 << BUCKETS) // RANGES
     for r in got.toLocalIterator():
-        total += np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
-        sizes += np.frombuffer(r["sizes"], np.int64)
-    return np.minimum(total, 65535), sizes
+        total[r["r"] * step : (r["r"] + 1) * step] = np.frombuffer(r["counts"], np.uint8)
+        sets += r["sets"]
+    return total, sets
 
 
-def choose(counts: np.ndarray, sizes: np.ndarray, t: float) -> tuple[int, int]:
-    """(light, boundary) of the least estimated cost.
+PACKED = "part int, sets binary, sizes binary, keys binary, refs binary, places binary"
 
-    A meeting in a list costs about 1 and a shuffled signature 6. A set of mean size has (1 - t) of its elements in its
-    prefix, the rarest; those light elements that it has come first.
-    """
-    n = max(1, sizes.sum())
-    hist = np.bincount(np.minimum(counts, 65535)).astype(float)
-    c = np.arange(len(hist))
-    held = np.cumsum(hist * c) / n  # elements of a mean set with a count up to c
-    mean = held[-1] if len(held) else 0
-    prefix = (1 - t) * mean + 2
-    best = None
-    for light in (2, 4, 8, 16, 32, 64, 128, 250):
-        k = min(light, len(c) - 1)
-        within = c <= min(k, int(np.searchsorted(held, prefix)))
-        heavy = max(0.0, prefix - held[k])
-        total = (hist[within] * c[within] ** 2.0).sum() / 2 + 6 * n * heavy * (heavy - 1) / 2 * (heavy > 1)
-        if best is None or total < best[0]:
-            best = total, light, heavy / max(prefix, 1)
-    _, light, share = best
-    s = np.arange(len(sizes))
-    heavy = (1 - t) * s * min(1.0, share + 0.2)
-    big = hist[min(light, len(hist) - 1) + 1 :] if len(hist) > light + 1 else np.zeros(0)
-    cs = np.arange(light + 1, light + 1 + len(big))
-    options = []
-    for b in (32, 64, 128, 256, 512, 1024, 2048):
-        few = s <= b
-        part = sizes[s > t * b].sum() / n
-        scan = (big * (part * cs) ** 2.0).sum() / 2 * (1 - t) * share
-        options.append((6 * (sizes[few] * heavy[few] ** 2 / 2).sum() + 6 * (sizes[s > t * b] * heavy[s > t * b]).sum() + scan, b))
-    return light, min(options)[1]
+
+def _pack(fp: np.ndarray, bits: np.ndarray, size: np.ndarray, key: np.ndarray, ref: np.ndarray, place: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Entries (key, set, place) and the sets they speak of, one row for each part of the keys."""
+    part = (mix(key) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    rows: dict[str, list] = {k.split()[0]: [] for k in PACKED.split(", ")}
+    for q in np.flatnonzero(np.diff(cut)):
+        o = order[cut[q] : cut[q + 1]]
+        used, local = np.unique(ref[o], return_inverse=True)
+        rows["part"].append(int(q))
+        rows["sets"].append(np.column_stack((fp[used], bits[used])).astype(np.uint64).tobytes())
+        rows["sizes"].append(size[used].astype(np.uint32).tobytes())
+        rows["keys"].append(key[o].tobytes())
+        rows["refs"].append(local.astype(np.uint32).tobytes())
+        rows["places"].append(place[o].astype(np.int32).tobytes())
+    return pa.record_batch({k: pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in rows.items()})
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], plan: Plan, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Keys under which similar sets meet, packed by slice and partition; each class of equal sets once a task."""
+    """The prefix elements under which similar sets can meet, packed by slice and part; each class of equal sets once a task."""
     shift, seen = np.uint64(64 - BUCKETS), np.zeros(0, np.uint64)
     for batch in batches:
         for _, g, row, size, fp in _sets(batch, plan):
@@ -196,111 +194,184 @@ def _signatures(batches: Iterator[pa.RecordBatch], plan: Plan, counts: np.ndarra
             many = size[row[begin]]
             pos = np.arange(len(g)) - begin[ref]
             # a signature of 128 bits: element counts modulo 2 are no more apart than the sets are
-            bits = np.zeros((len(begin), 2), np.uint64)
-            bit = (g & np.uint64(127)).astype(np.int64)
             par = np.zeros(len(begin) * 128, np.uint8)
-            np.bitwise_xor.at(par, ref * 128 + bit, np.uint8(1))
+            np.bitwise_xor.at(par, ref * 128 + (g & np.uint64(127)).astype(np.int64), np.uint8(1))
             bits = np.packbits(par.reshape(-1, 128), axis=1).view(np.uint64).reshape(-1, 2)
-            own, need = many[ref], plan.need(many)[ref]
-            light = c <= plan.light
-            one = light & (c > 1) & (pos < own - need + 1)
-            keys, refs, places = [mix(g[one]) & np.uint64(0x7FFF_FFFF_FFFF_FFFF)], [ref[one]], [pos[one]]
-            # subsets of two heavy elements of the prefix
-            hv = np.flatnonzero(~light & (pos < np.minimum(own, own - need + 2)) & (own <= plan.boundary))
-            if len(hv):
-                head = np.flatnonzero(np.concatenate(([True], ref[hv][1:] != ref[hv][:-1])))
-                k = np.arange(len(hv)) - np.repeat(head, np.diff(np.concatenate((head, [len(hv)]))))
-                b = np.repeat(np.arange(len(hv)), k)
-                a = np.repeat(np.arange(len(hv)) - k, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                with np.errstate(over="ignore"):
-                    keys.append(mix(g[hv[a]] * np.uint64(0x9E3779B97F4A7C15) + g[hv[b]]) & np.uint64(0x7FFF_FFFF_FFFF_FFFF))
-                refs.append(ref[hv[b]])
-                places.append(pos[hv[b]] - 1)
-            # inverted lists for the large sets and their possible partners
-            big = np.flatnonzero(~light & (pos < own - need + 1) & (own * plan.den >= plan.num * plan.boundary))
-            keys.append(mix(~g[big]) | np.uint64(0x8000_0000_0000_0000))
-            refs.append(ref[big])
-            places.append(pos[big])
-            key, r, p = np.concatenate(keys), np.concatenate(refs), np.concatenate(places)
-            part = (mix(key) % np.uint64(plan.parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(plan.parts + 1))
-            rows: dict[str, list] = {k: [] for k in ("part", "sets", "sizes", "keys", "refs", "places")}
-            named = fp[row[begin]]
-            for q in range(plan.parts):
-                o = order[cut[q] : cut[q + 1]]
-                if not len(o):
-                    continue
-                used, local = np.unique(r[o], return_inverse=True)
-                rows["part"].append(q)
-                rows["sets"].append(np.column_stack((named[used], bits[used])).astype(np.uint64).tobytes())
-                rows["sizes"].append(many[used].astype(np.uint32).tobytes())
-                rows["keys"].append(key[o].tobytes())
-                rows["refs"].append(local.astype(np.uint32).tobytes())
-                rows["places"].append(np.minimum(p[o], 65535).astype(np.uint16).tobytes())
-            yield pa.record_batch({k: pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in rows.items()})
-
-
-def _meet(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets that share a key and can be similar by size, position and signature."""
-    sets, sizes, keys, refs, places, base = [], [], [], [], [], 0
+            # an element with a count of one is in no other set
+            used = np.flatnonzero((c > 1) & (pos < many[ref] - plan.need(many)[ref] + 2))
+            if len(used):
+                yield _pack(fp[row[begin]], bits, many, g[used], ref[used], pos[used], plan.parts)
+
+
+#: What comes of a meeting: a pair (a, b) of sets, or, where n > 0, set a in the long list of key b, which holds n sets.
+MET = "a long, b long, n long, size int, place int, s long, t long"
+
+
+def _met(a, b, n=None, size=None, place=None, s=None, t=None) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(a), 100_000):
+        cut = lambda x, kind: pa.array(np.zeros(len(a[i : i + 100_000]), kind) if x is None else x[i : i + 100_000].astype(kind, copy=False))  # noqa: B023, E731
+        yield pa.record_batch({"a": cut(a.view(np.int64), np.int64), "b": cut(b.view(np.int64), np.int64), "n": cut(n, np.int64), "size": cut(size, np.int32), "place": cut(place, np.int32), "s": cut(None if s is None else s.view(np.int64), np.int64), "t": cut(None if t is None else t.view(np.int64), np.int64)})
+
+
+@dataclass
+class Sets:
+    """Fingerprints with two words of signature (n x 3), and sizes."""
+
+    s: np.ndarray
+    size: np.ndarray
+
+    def alike(self, plan: Plan, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, slack: int, subset: np.ndarray | None = None) -> np.ndarray:
+        """Which of the pairs x, y can be similar by size, by the places where they meet, and by signature.
+
+        slack: common elements that may come before the one they meet at. subset: entries of subsets, not of lists.
+        """
+        sx, sy = self.size[x], self.size[y]
+        need = plan.overlap(sx, sy)
+        ok = (np.minimum(sx, sy) * plan.den >= np.maximum(sx, sy) * plan.num) & (np.minimum(sx - px, sy - py) + slack >= need)
+        if subset is not None:
+            ok &= subset | (np.maximum(sx, sy) > plan.boundary)
+        at = np.flatnonzero(ok)
+        x, y = x[at], y[at]
+        differ = np.bitwise_count(self.s[x, 1] ^ self.s[y, 1]).astype(np.int64) + np.bitwise_count(self.s[x, 2] ^ self.s[y, 2])
+        return at[(differ <= (sx + sy - 2 * need)[at]) & (self.s[x, 0] != self.s[y, 0])]
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        fa, fb = self.s[x, 0], self.s[y, 0]
+        return np.unique(np.column_stack((np.minimum(fa, fb), np.maximum(fa, fb))), axis=0)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], plan: Plan, second: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that meet in lists of up to plan.light sets, and the entries of longer lists.
+
+    second: keys are subsets and heavy elements (the highest bit tells which), else elements.
+    """
+    columns: dict[str, list] = {k: [] for k in ("sets", "sizes", "keys", "refs", "places")}
+    kinds = {"sets": np.uint64, "sizes": np.uint32, "keys": np.uint64, "refs": np.uint32, "places": np.int32}
+    base = 0
     for batch in batches:
         for r in batch.to_pylist():
-            s = np.frombuffer(r["sets"], np.uint64).reshape(-1, 3)
-            sets.append(s)
-            sizes.append(np.frombuffer(r["sizes"], np.uint32))
-            keys.append(np.frombuffer(r["keys"], np.uint64))
-            refs.append(np.frombuffer(r["refs"], np.uint32) + np.uint32(base))
-            places.append(np.frombuffer(r["places"], np.uint16))
-            base += len(s)
-    if not sets:
+            got = {k: np.frombuffer(r[k], t) for k, t in kinds.items()}
+            got["refs"] = got["refs"].astype(np.int64) + base
+            base += len(got["sizes"])
+            for k, v in got.items():
+                columns[k].append(v)
+    if not base:
         return
-    s, size, key, ref, place = np.concatenate(sets), np.concatenate(sizes).astype(np.int64), np.concatenate(keys), np.concatenate(refs), np.concatenate(places).astype(np.int64)
-    del sets, sizes, keys, refs, places
-    order = np.argsort(key, kind="stable")
+    raw = np.concatenate(columns["sets"]).reshape(-1, 3)
+    _, first, named = np.unique(raw[:, 0], return_index=True, return_inverse=True)  # tasks may have sent equal sets
+    sets = Sets(raw[first], np.concatenate(columns["sizes"]).astype(np.int64)[first])
+    key, ref, place = np.concatenate(columns["keys"]), named[np.concatenate(columns["refs"])], np.concatenate(columns["places"]).astype(np.int64)
+    del columns, raw
+    order = np.lexsort((ref, key))
     key, ref, place = key[order], ref[order], place[order]
-    same = np.concatenate(([False], key[1:] == key[:-1]))
-    begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-    k = np.arange(len(key)) - begin  # each entry meets the k before it in its list
+    once = np.concatenate(([True], (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])))
+    key, ref, place = key[once], ref[once], place[once]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(begins, len(key)))
+    held = np.repeat(sizes, sizes)
+    long = held > plan.light
+    if long.any():
+        r = ref[long]
+        yield from _met(sets.s[r, 0], key[long], held[long], sets.size[r], place[long], sets.s[r, 1], sets.s[r, 2])
+    k = np.where(long, 0, np.arange(len(key)) - np.repeat(begins, sizes))  # each entry meets the k before it in its list
     done = np.cumsum(k)
-    out = []
-
-    def give() -> Iterator[pa.RecordBatch]:
-        pairs = np.unique(np.concatenate(out), axis=0)
-        out.clear()
-        for i in range(0, len(pairs), 100_000):
-            p = pairs[i : i + 100_000].view(np.int64)
-            yield pa.record_batch({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
-
-    lo, held = 0, 0
+    out, count, lo = [], 0, 0
     while lo < len(key):
         hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + BLOCK, "right")))
-        for first in range(0, int(k[lo:hi].max()) + 1 if hi == lo + 1 else 1, BLOCK):  # one entry may meet more than a block
-            kk = k[lo:hi] if hi > lo + 1 else np.array([min(BLOCK, k[lo] - first)])
-            y = np.repeat(np.arange(lo, hi), kk)
-            x = np.repeat(begin[lo:hi] + first, kk) + np.arange(kk.sum()) - np.repeat(np.cumsum(kk) - kk, kk)
-            rx, ry = ref[x], ref[y]
-            sx, sy = size[rx], size[ry]
-            need = plan.overlap(sx, sy)
-            ok = (np.minimum(sx, sy) * plan.den >= np.maximum(sx, sy) * plan.num) & (np.minimum(sx - place[x], sy - place[y]) >= need)
-            ok &= (key[y] < np.uint64(1 << 63)) | (np.maximum(sx, sy) > plan.boundary)
-            rx, ry, apart = rx[ok], ry[ok], (sx + sy - 2 * need)[ok]
-            differ = np.bitwise_count(s[rx, 1] ^ s[ry, 1]).astype(np.int64) + np.bitwise_count(s[rx, 2] ^ s[ry, 2])
-            fa, fb = s[rx, 0], s[ry, 0]
-            ok = (differ <= apart) & (fa != fb)
-            if ok.any():
-                got = np.unique(np.column_stack((np.minimum(fa[ok], fb[ok]), np.maximum(fa[ok], fb[ok]))), axis=0)
-                out.append(got)
-                held += len(got)
+        kk = k[lo:hi]
+        y = np.repeat(np.arange(lo, hi), kk)
+        x = y - np.repeat(kk, kk) + np.arange(len(y)) - np.repeat(np.cumsum(kk) - kk, kk)
+        ok = sets.alike(plan, ref[x], ref[y], place[x], place[y], 0 if second else 1, key[y] < np.uint64(1 << 63) if second else None)
+        if len(ok):
+            out.append(sets.pairs(ref[x[ok]], ref[y[ok]]))
+            count += len(out[-1])
         lo = hi
-        if held > BLOCK:
-            yield from give()
-            held = 0
-    if out:
-        yield from give()
+        if count > BLOCK or (lo >= len(key) and out):
+            p = np.unique(np.concatenate(out), axis=0)
+            yield from _met(np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1]))
+            out, count = [], 0
 
 
-def _members(batches: Iterator[pa.RecordBatch], plan: Plan, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _heavy(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Keys of sets by their heavy elements: subsets of two up to the boundary, the elements themselves beyond."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fp, s, t = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "s", "t"))
+        size = batch.column("size").to_numpy().astype(np.int64)
+        lists = batch.column("heavy")
+        flat = lists.flatten()
+        pos, g = flat.field("place").to_numpy().astype(np.int64), flat.field("b").to_numpy().view(np.uint64)
+        h = lists.value_lengths().to_numpy().astype(np.int64)
+        ref = np.repeat(np.arange(len(h)), h)
+        at = np.lexsort((pos, ref))
+        pos, g = pos[at], g[at]
+        small = np.flatnonzero((size <= plan.boundary)[ref])
+        head = np.repeat(np.cumsum(h) - h, h)
+        for lo in range(0, len(small), 20_000):  # an entry makes a subset with each before it
+            e = small[lo : lo + 20_000]
+            k = e - head[e]
+            y = np.repeat(e, k)
+            x = np.repeat(head[e], k) + np.arange(len(y)) - np.repeat(np.cumsum(k) - k, k)
+            if len(y):
+                with np.errstate(over="ignore"):
+                    key = mix(g[x] * np.uint64(0x9E3779B97F4A7C15) + g[y]) & np.uint64(0x7FFF_FFFF_FFFF_FFFF)
+                yield _pack(fp, np.column_stack((s, t)), size, key, ref[y], pos[y] - 1, plan.parts)
+        big = np.flatnonzero((size * plan.den >= plan.num * plan.boundary)[ref] & (pos < (size - plan.need(size) + 1)[ref]))
+        if len(big):
+            yield _pack(fp, np.column_stack((s, t)), size, mix(g[big]) | np.uint64(0x8000_0000_0000_0000), ref[big], pos[big], plan.parts)
+
+
+def choose(by_size: np.ndarray, t: float) -> int:
+    """The boundary of the least cost; by_size: rows of (size, subsets, entries met in lists) over the sets of a size.
+
+    A subset is shuffled, which costs about as much as six meetings in a list.
+    """
+    options = [(6 * by_size[by_size[:, 0] <= b, 1].sum() + by_size[by_size[:, 0] > t * b, 2].sum(), b) for b in np.concatenate(([0], by_size[:, 0]))]
+    return int(min(options)[1])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks of a list; the entries of one pair of blocks follow each other."""
+
+    def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts)
+        s = np.column_stack([t[c].to_numpy().view(np.uint64) for c in ("a", "s", "t")])
+        sets, place, own = Sets(s, t["size"].to_numpy().astype(np.int64)), t["place"].to_numpy().astype(np.int64), t["own"].to_numpy()
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = []
+        for lo in range(0, len(left), 500):
+            x = np.repeat(left[lo : lo + 500], len(right))
+            y = np.tile(right, len(left[lo : lo + 500]))
+            if i == j:
+                x, y = x[x < y], y[x < y]
+            subset = np.full(len(x), t["b"][0].as_py() >= 0)
+            ok = sets.alike(plan, x, y, place[x], place[y], 0, subset)
+            if len(ok):
+                out.append(sets.pairs(x[ok], y[ok]))
+        if out:
+            p = np.unique(np.concatenate(out), axis=0)
+            yield from _met(np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1]))
+
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.column_stack([batch.column(c).to_numpy() for c in ("b", "i", "j")]).astype(np.int64)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and tuple(key[lo]) != now:
+                yield from flush(held)
+                held = []
+            now = tuple(key[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from flush(held)
+
+
+def _members(batches: Iterator[pa.RecordBatch], plan: Plan, wanted: _filter.Filter) -> Iterator[pa.RecordBatch]:
     """(id, at, class) of every record, and of classes that are in a candidate pair their elements, once a task."""
     seen: set[int] = set()
     for batch in batches:
@@ -308,8 +379,7 @@ def _members(batches: Iterator[pa.RecordBatch], plan: Plan, wanted: np.ndarray)
         cls, elements = np.zeros(n, np.int64), [None] * n
         for lo, g, row, size, fp in _sets(batch, plan):
             cls[lo : lo + len(fp)] = fp.view(np.int64)
-            slot = (fp >> np.uint64(64 - FILTER)).astype(np.int64)
-            for r in np.flatnonzero((size > 0) & ((wanted[slot >> 3] >> (slot & 7)) & 1 > 0)):
+            for r in np.flatnonzero((size > 0) & wanted.maybe(fp)):
                 if int(fp[r]) not in seen:
                     seen.add(int(fp[r]))
                     a, b = np.searchsorted(row, (r, r + 1))
@@ -317,13 +387,8 @@ def _members(batches: Iterator[pa.RecordBatch], plan: Plan, wanted: np.ndarray)
         yield pa.record_batch({"id": batch.column("id"), "at": batch.column("at"), "class": pa.array(cls, pa.int64()), "elements": pa.array(elements, pa.binary())})
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER, bool)
-    for batch in batches:
-        for c in ("a", "b"):
-            bits[(batch.column(c).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER)).astype(np.int64)] = True
-    if bits.any():
-        yield pa.record_batch({"bits": pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())})
+def _class_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    return np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")]).view(np.uint64)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
@@ -344,22 +409,33 @@ def _verify(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(sim)}).filter(pa.array(ok))
 
 
+def _candidates(prepared: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): classes of sets that may be similar, written."""
+    counts, n = _count(prepared, plan)
+    plan = replace(plan, parts=max(4, prepared.sparkSession.sparkContext.defaultParallelism, n // SETS))
+    table = prepared.sparkSession.sparkContext.broadcast(counts)  # 2^BUCKETS bytes
+    keys = prepared.select("text").mapInArrow(lambda it: _signatures(it, plan, table.value), PACKED)
+    first = written(keys.repartition(plan.parts, "part").mapInArrow(lambda it: _meet(it, plan, False), MET), "met")
+    found, heavy = first.where("n = 0"), first.where("n > 0")
+    by_set = heavy.groupBy("a", "size").agg(F.count("*").alias("h"), F.sum("n").alias("lists"))
+    by_size = by_set.groupBy(F.least("size", F.lit(4096)).alias("size")).agg((F.sum(F.col("h") * (F.col("h") - 1)) / 2).alias("subsets"), F.sum("lists").alias("lists")).collect()  # one row a size
+    if by_size:
+        plan = replace(plan, boundary=choose(np.array(by_size, float), plan.num / plan.den))
+        grouped = heavy.groupBy("a", "size", "s", "t").agg(F.collect_list(F.struct("place", "b")).alias("heavy"))  # elements of one prefix
+        keys = grouped.mapInArrow(lambda it: _heavy(it, plan), PACKED)
+        second = written(keys.repartition(plan.parts, "part").mapInArrow(lambda it: _meet(it, plan, True), MET), "met")
+        found, long = found.unionAll(second.where("n = 0")), second.where("n > 0")
+        blocks = F.ceil(F.col("n") / plan.deal).cast("int")
+        dealt = long.withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+        found = found.unionAll(dealt.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(lambda it: _blocks(it, plan), MET))
+    return written(found.select("a", "b").distinct(), "candidates")
+
+
 def _classes(prepared: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """(members: id, class), (similar: class a, class b, similarity) of prepared: id, at, text."""
-    spark: SparkSession = prepared.sparkSession
-    counts, sizes = _count(prepared, plan)
-    light, boundary = choose(counts, sizes, plan.num / plan.den)
-    # a task holds the keys of about so many sets, whatever the setting
-    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 2, int(sizes.sum()) // SETS)
-    plan = Plan(plan.make, plan.num, plan.den, plan.smallest, light, boundary, parts)
-    table = spark.sparkContext.broadcast(np.minimum(counts, 255).astype(np.uint8))  # 2^BUCKETS bytes
-    del counts
-    sigs = prepared.select("text").mapInArrow(lambda it: _signatures(it, plan, table.value), "part int, sets binary, sizes binary, keys binary, refs binary, places binary")
-    found = written(sigs.repartition(parts, "part").mapInArrow(lambda it: _meet(it, plan), "a long, b long").distinct(), "candidates")
-    bits = np.zeros((1 << FILTER) // 8, np.uint8)
-    for r in found.mapInArrow(_filter_bits, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    wanted = spark.sparkContext.broadcast(bits)  # 2^FILTER bits
+    found = _candidates(prepared, plan)
+    wanted = prepared.sparkSession.sparkContext.broadcast(_filter.make(found, _class_hashes))
     rows = written(prepared.mapInArrow(lambda it: _members(it, plan, wanted.value), "id long, at timestamp, class long, elements binary"), "members")
     sets = rows.where("elements is not null").select("class", "elements").dropDuplicates(["class"])
     both = found.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
@@ -383,23 +459,19 @@ def prepare_books(books: DataFrame) -> DataFrame:
 
 
 def _pairs(members: DataFrame, similar: DataFrame) -> DataFrame:
-    """(id_a, id_b): pairs of records of one class or of similar classes; see EXPAND for a shorter result.
+    """(id_a, id_b): all pairs of records of one class or of similar classes.
 
     The records of a class are dealt to parts of about PART, so that no task has all pairs of a large class.
     """
-    sized = members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("head")).withColumn("parts", F.ceil(F.col("n") / PART))
+    sized = members.groupBy("class").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PART))
     known = members.join(sized, "class").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    small = "true" if EXPAND is None else f"n <= {EXPAND}"
-    several = known.where("n > 1")
-    stars = several.where(f"not ({small}) and id <> head").select(F.col("head").alias("id_a"), F.col("id").alias("id_b"))
-    usable = known.where(f"{small} or id = head").select("class", "id", "part")
-    few = several.where(small)
-    left = few.select("class", F.explode(every).alias("part"), F.col("id").alias("id_a"))
-    equal = left.join(few.select("class", "part", F.col("id").alias("id_b")), ["class", "part"]).where("id_a < id_b").select("id_a", "id_b")
+    several, usable = known.where("n > 1"), known.select("class", "id", "part")
+    left = several.select("class", F.explode(every).alias("part"), F.col("id").alias("id_a"))
+    equal = left.join(several.select("class", "part", F.col("id").alias("id_b")), ["class", "part"]).where("id_a < id_b").select("id_a", "id_b")
     spread = similar.join(sized.select(F.col("class").alias("b"), "parts"), "b").select("a", "b", F.explode(every).alias("part"))
     x = spread.join(usable.select(F.col("class").alias("a"), F.col("id").alias("i")), "a").join(usable.select(F.col("class").alias("b"), "part", F.col("id").alias("j")), ["b", "part"])
-    return stars.unionAll(equal).unionAll(x.where("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")))
+    return equal.unionAll(x.where("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")))
 
 
 CHUNKS = Plan(word_sets, 3, 5, 25)

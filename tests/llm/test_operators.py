@@ -497,3 +497,49 @@ def test_tasks_of_packing_follow_from_the_texts(spark, monkeypatch):
     kinds = spark.createDataFrame([("c", 64)], "container string, capacity int")
     p = packing.packed(df, kinds)
     assert len({r.bin >> 40 for r in p.collect()}) > 15 and p.select("doc_id").distinct().count() == 1000
+
+
+def _shared(words, n, size=200):
+    """n texts of their own words that share one run of three words, and a near copy of every 500th."""
+    rng = random.Random(9)
+    texts = [" ".join([f"{rng.choice(words)}{i}x{k}" for k in range(size)] + ["all of them"]) for i in range(n)]
+    return texts + [t.replace("x7 ", "y7 ", 1) for t in texts[::500]]
+
+
+def test_a_heavy_element_makes_no_pairs_of_all(spark, words):
+    texts = _shared(words, 10_000)
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "id long, at timestamp, text string").repartition(4)
+    plan = near_duplicates.Plan(near_duplicates.word_sets, 3, 5, 25)
+    began = time.time()
+    found = near_duplicates._candidates(df, plan)
+    assert found.count() == 20 and time.time() - began < 60
+
+
+@pytest.mark.parametrize("boundary", [0, 10_000])
+def test_long_lists_meet_in_blocks(spark, words, boundary, monkeypatch):
+    """Sets made of a few heavy elements only: every list is long, of elements and of subsets."""
+    monkeypatch.setattr(near_duplicates, "choose", lambda by_size, t: boundary)
+    rng = random.Random(4)
+    texts = [" ".join(rng.sample([f"w{k}" for k in range(8)], 6)) for _ in range(400)]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "id long, at timestamp, text string")
+    plan = near_duplicates.Plan(near_duplicates.char_sets, 7, 10, 1, light=5, deal=20)
+    members, similar = near_duplicates._classes(df, plan)
+    got = set(map(tuple, near_duplicates._pairs(members, similar).collect()))
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    assert got == {(a, b) for a in range(400) for b in range(a + 1, 400) if len(sets[a] & sets[b]) * 10 >= 7 * len(sets[a] | sets[b])}
+
+
+def test_keys_hardly_grow_with_the_collection(words):
+    """Bytes of keys per byte of text with the counts of these texts and with those of a collection 100,000 times as large."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(3000)]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    plan = near_duplicates.Plan(near_duplicates.word_sets, 3, 5, 25)
+    own = np.zeros(1 << near_duplicates.BUCKETS, np.int64)
+    for _, g, _, _, _ in near_duplicates._sets(batch, plan):
+        np.add.at(own, (g >> np.uint64(64 - near_duplicates.BUCKETS)).astype(np.int64), 1)
+    huge = near_duplicates._scaled(own * 100_000 + np.random.default_rng(1).poisson(300, len(own)))
+    sizes = [sum(b.nbytes for b in near_duplicates._signatures(iter([batch]), plan, c)) / sum(map(len, texts)) for c in (near_duplicates._scaled(own), huge)]
+    assert sizes[1] < 1.5
+    # the order still tells frequent elements from rare ones
+    assert len(np.unique(huge[own == 0])) > 1 and huge[own > 1].min() > huge[own == 0].max()
