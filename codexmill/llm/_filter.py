@@ -32,13 +32,18 @@ class Filter:
 
 
 def _collect(batches: Iterator[pa.RecordBatch], hashes) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << BITS, bool)
+    held, more, size = np.zeros(0, np.int64), [], 0
     for batch in batches:
-        bits[slots(hashes(batch))] = True
-    for r in range(RANGES):
-        part = bits[r << _LOCAL : (r + 1) << _LOCAL]
-        if part.any():
-            yield pa.record_batch({"r": pa.array([r], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(part, bitorder="little").tobytes(), 1)], pa.binary())})
+        more.append(np.unique(slots(hashes(batch))))
+        size += len(more[-1])
+        if size > 1_000_000:
+            held, more, size = np.unique(np.concatenate((held, *more))), [], 0
+    held = np.unique(np.concatenate((held, *more)))
+    cuts = np.searchsorted(held, np.arange(RANGES + 1) << _LOCAL)
+    for r in np.flatnonzero(np.diff(cuts)):
+        part = np.zeros(1 << _LOCAL, bool)
+        part[held[cuts[r] : cuts[r + 1]] - (r << _LOCAL)] = True
+        yield pa.record_batch({"r": pa.array([r], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(part, bitorder="little").tobytes(), 1)], pa.binary())})
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,6 @@ size of the collection; it steers the cost and never the result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -39,7 +38,7 @@ BUCKETS, RANGES = 24, 64
 #: A list of up to so many sets is light.
 LIGHT = 200
 #: Sets whose keys one task holds, about.
-SETS = 50_000
+SETS = 10_000
 #: Pairs that are worked out at once in a task.
 BLOCK = 2_000_000
 #: Entries of a long list in one block.
@@ -118,8 +117,12 @@ def _sketch(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
     step = len(counts) // RANGES
     for r in range(RANGES):
         part = counts[r * step : (r + 1) * step]
-        if part.any() or (r == 0 and sets):
-            yield pa.record_batch({"r": pa.array([r], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), "sets": pa.array([sets if r == 0 else 0], pa.int64())})
+        some = np.flatnonzero(part).astype(np.int32)
+        if not len(some) and (r or not sets):
+            continue
+        # few counts as pairs of place and count, many as they lie
+        blob = part.tobytes() if len(some) > step // 4 else np.concatenate((some, part[some])).tobytes()
+        yield pa.record_batch({"r": pa.array([r], pa.int32()), "counts": pa.array([blob], pa.binary()), "sets": pa.array([sets if r == 0 else 0], pa.int64())})
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
@@ -133,8 +136,13 @@ def _merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         sets += sum(batch.column("sets").to_pylist())
         for r, c in zip(batch.column("r").to_pylist(), batch.column("counts"), strict=True):
-            part = np.frombuffer(zlib.decompress(c.as_py()), np.int32).astype(np.int64)
-            held[r] = held[r] + part if r in held else part
+            got, step = np.frombuffer(c.as_buffer(), np.int32), (1 << BUCKETS) // RANGES
+            total = held.setdefault(r, np.zeros(step, np.int64))
+            if len(got) == step:
+                total += got
+            else:
+                some, n = got.reshape(2, -1)
+                total[some] += n
     for r, part in held.items():
         yield pa.record_batch({"r": pa.array([r], pa.int32()), "counts": pa.array([_scaled(part).tobytes()], pa.binary()), "sets": pa.array([sets], pa.int64())})
         sets = 0
@@ -151,25 +159,22 @@ def _count(prepared: DataFrame, plan: Plan) -> tuple[np.ndarray, int]:
     return total, sets
 
 
-PACKED = "part int, sets binary, sizes binary, keys binary, refs binary, places binary"
+#: Entries of one part of the keys: key, fingerprint, signature and size of the set, and the place of the element in it.
+#: Every entry stands for itself, so the bytes of an entry don't depend on the number of parts.
+PACKED = "part int, keys binary, fps binary, signs binary, sizes binary, places binary"
+_KINDS = {"keys": np.uint64, "fps": np.uint64, "signs": np.uint64, "sizes": np.uint32, "places": np.int32}
 
 
-def _pack(fp: np.ndarray, bits: np.ndarray, size: np.ndarray, key: np.ndarray, ref: np.ndarray, place: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Entries (key, set, place) and the sets they speak of, one row for each part of the keys."""
-    part = (mix(key) % np.uint64(parts)).astype(np.int64)
+def _pack(parts: int, **entries: np.ndarray) -> pa.RecordBatch:
+    part = (mix(entries["keys"]) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(parts + 1))
-    rows: dict[str, list] = {k.split()[0]: [] for k in PACKED.split(", ")}
-    for q in np.flatnonzero(np.diff(cut)):
-        o = order[cut[q] : cut[q + 1]]
-        used, local = np.unique(ref[o], return_inverse=True)
-        rows["part"].append(int(q))
-        rows["sets"].append(np.column_stack((fp[used], bits[used])).astype(np.uint64).tobytes())
-        rows["sizes"].append(size[used].astype(np.uint32).tobytes())
-        rows["keys"].append(key[o].tobytes())
-        rows["refs"].append(local.astype(np.uint32).tobytes())
-        rows["places"].append(place[o].astype(np.int32).tobytes())
-    return pa.record_batch({k: pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in rows.items()})
+    used = np.flatnonzero(np.diff(cut))
+    rows = {"part": pa.array(used, pa.int32())}
+    for name, kind in _KINDS.items():
+        v = entries[name].astype(kind)[order]
+        rows[name] = pa.array([v[cut[q] : cut[q + 1]].tobytes() for q in used], pa.binary())
+    return pa.record_batch(rows)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], plan: Plan, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -193,31 +198,34 @@ def _signatures(batches: Iterator[pa.RecordBatch], plan: Plan, counts: np.ndarra
             ref = np.cumsum(np.concatenate(([0], (row[1:] != row[:-1]).astype(np.int64))))
             many = size[row[begin]]
             pos = np.arange(len(g)) - begin[ref]
-            # a signature of 128 bits: element counts modulo 2 are no more apart than the sets are
-            par = np.zeros(len(begin) * 128, np.uint8)
-            np.bitwise_xor.at(par, ref * 128 + (g & np.uint64(127)).astype(np.int64), np.uint8(1))
-            bits = np.packbits(par.reshape(-1, 128), axis=1).view(np.uint64).reshape(-1, 2)
+            # a signature of 64 bits: element counts modulo 2 are no more apart than the sets are
+            par = (np.bincount(ref * 64 + (g & np.uint64(63)).astype(np.int64), minlength=len(begin) * 64) & 1).astype(np.uint8)
+            signs = np.packbits(par.reshape(-1, 64), axis=1).view(np.uint64).ravel()
             # an element with a count of one is in no other set
             used = np.flatnonzero((c > 1) & (pos < many[ref] - plan.need(many)[ref] + 2))
             if len(used):
-                yield _pack(fp[row[begin]], bits, many, g[used], ref[used], pos[used], plan.parts)
+                r = ref[used]
+                yield _pack(plan.parts, keys=g[used], fps=fp[row[begin]][r], signs=signs[r], sizes=many[r], places=pos[used])
 
 
 #: What comes of a meeting: a pair (a, b) of sets, or, where n > 0, set a in the long list of key b, which holds n sets.
-MET = "a long, b long, n long, size int, place int, s long, t long"
+MET = "a long, b long, n long, size int, place int, sign long"
 
 
-def _met(a, b, n=None, size=None, place=None, s=None, t=None) -> Iterator[pa.RecordBatch]:
+def _met(a: np.ndarray, b: np.ndarray, **more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    kinds = {"a": np.int64, "b": np.int64, "n": np.int64, "size": np.int32, "place": np.int32, "sign": np.int64}
+    columns = {"a": np.ascontiguousarray(a).view(np.int64), "b": np.ascontiguousarray(b).view(np.int64), **more}
     for i in range(0, len(a), 100_000):
-        cut = lambda x, kind: pa.array(np.zeros(len(a[i : i + 100_000]), kind) if x is None else x[i : i + 100_000].astype(kind, copy=False))  # noqa: B023, E731
-        yield pa.record_batch({"a": cut(a.view(np.int64), np.int64), "b": cut(b.view(np.int64), np.int64), "n": cut(n, np.int64), "size": cut(size, np.int32), "place": cut(place, np.int32), "s": cut(None if s is None else s.view(np.int64), np.int64), "t": cut(None if t is None else t.view(np.int64), np.int64)})
+        rows = len(a[i : i + 100_000])
+        yield pa.record_batch({c: pa.array(columns[c][i : i + rows].astype(k, copy=False) if c in columns else np.zeros(rows, k)) for c, k in kinds.items()})
 
 
 @dataclass
 class Sets:
-    """Fingerprints with two words of signature (n x 3), and sizes."""
+    """Fingerprints, signatures and sizes."""
 
-    s: np.ndarray
+    fp: np.ndarray
+    sign: np.ndarray
     size: np.ndarray
 
     def alike(self, plan: Plan, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, slack: int, subset: np.ndarray | None = None) -> np.ndarray:
@@ -232,11 +240,11 @@ class Sets:
             ok &= subset | (np.maximum(sx, sy) > plan.boundary)
         at = np.flatnonzero(ok)
         x, y = x[at], y[at]
-        differ = np.bitwise_count(self.s[x, 1] ^ self.s[y, 1]).astype(np.int64) + np.bitwise_count(self.s[x, 2] ^ self.s[y, 2])
-        return at[(differ <= (sx + sy - 2 * need)[at]) & (self.s[x, 0] != self.s[y, 0])]
+        differ = np.bitwise_count(self.sign[x] ^ self.sign[y]).astype(np.int64)
+        return at[(differ <= (sx + sy - 2 * need)[at]) & (self.fp[x] != self.fp[y])]
 
     def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        fa, fb = self.s[x, 0], self.s[y, 0]
+        fa, fb = self.fp[x], self.fp[y]
         return np.unique(np.column_stack((np.minimum(fa, fb), np.maximum(fa, fb))), axis=0)
 
 
@@ -245,23 +253,17 @@ def _meet(batches: Iterator[pa.RecordBatch], plan: Plan, second: bool) -> Iterat
 
     second: keys are subsets and heavy elements (the highest bit tells which), else elements.
     """
-    columns: dict[str, list] = {k: [] for k in ("sets", "sizes", "keys", "refs", "places")}
-    kinds = {"sets": np.uint64, "sizes": np.uint32, "keys": np.uint64, "refs": np.uint32, "places": np.int32}
-    base = 0
+    columns: dict[str, list] = {k: [] for k in _KINDS}
     for batch in batches:
-        for r in batch.to_pylist():
-            got = {k: np.frombuffer(r[k], t) for k, t in kinds.items()}
-            got["refs"] = got["refs"].astype(np.int64) + base
-            base += len(got["sizes"])
-            for k, v in got.items():
-                columns[k].append(v)
-    if not base:
+        for k, t in _KINDS.items():
+            columns[k] += [np.frombuffer(x.as_buffer(), t) for x in batch.column(k)]
+    if not columns["keys"]:
         return
-    raw = np.concatenate(columns["sets"]).reshape(-1, 3)
-    _, first, named = np.unique(raw[:, 0], return_index=True, return_inverse=True)  # tasks may have sent equal sets
-    sets = Sets(raw[first], np.concatenate(columns["sizes"]).astype(np.int64)[first])
-    key, ref, place = np.concatenate(columns["keys"]), named[np.concatenate(columns["refs"])], np.concatenate(columns["places"]).astype(np.int64)
-    del columns, raw
+    key, fps, signs, sizes, place = (np.concatenate(columns[k]) for k in _KINDS)
+    del columns
+    fp, first, ref = np.unique(fps, return_index=True, return_inverse=True)  # tasks may have sent equal sets
+    sets, place = Sets(fp, signs[first], sizes[first].astype(np.int64)), place.astype(np.int64)
+    del fps, signs
     order = np.lexsort((ref, key))
     key, ref, place = key[order], ref[order], place[order]
     once = np.concatenate(([True], (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])))
@@ -272,7 +274,7 @@ def _meet(batches: Iterator[pa.RecordBatch], plan: Plan, second: bool) -> Iterat
     long = held > plan.light
     if long.any():
         r = ref[long]
-        yield from _met(sets.s[r, 0], key[long], held[long], sets.size[r], place[long], sets.s[r, 1], sets.s[r, 2])
+        yield from _met(sets.fp[r], key[long], n=held[long], size=sets.size[r], place=place[long], sign=sets.sign[r].view(np.int64))
     k = np.where(long, 0, np.arange(len(key)) - np.repeat(begins, sizes))  # each entry meets the k before it in its list
     done = np.cumsum(k)
     out, count, lo = [], 0, 0
@@ -288,7 +290,7 @@ def _meet(batches: Iterator[pa.RecordBatch], plan: Plan, second: bool) -> Iterat
         lo = hi
         if count > BLOCK or (lo >= len(key) and out):
             p = np.unique(np.concatenate(out), axis=0)
-            yield from _met(np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1]))
+            yield from _met(p[:, 0], p[:, 1])
             out, count = [], 0
 
 
@@ -297,7 +299,7 @@ def _heavy(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
     for batch in batches:
         if not batch.num_rows:
             continue
-        fp, s, t = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "s", "t"))
+        fp, sign = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "sign"))
         size = batch.column("size").to_numpy().astype(np.int64)
         lists = batch.column("heavy")
         flat = lists.flatten()
@@ -316,10 +318,12 @@ def _heavy(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
             if len(y):
                 with np.errstate(over="ignore"):
                     key = mix(g[x] * np.uint64(0x9E3779B97F4A7C15) + g[y]) & np.uint64(0x7FFF_FFFF_FFFF_FFFF)
-                yield _pack(fp, np.column_stack((s, t)), size, key, ref[y], pos[y] - 1, plan.parts)
+                r = ref[y]
+                yield _pack(plan.parts, keys=key, fps=fp[r], signs=sign[r], sizes=size[r], places=pos[y] - 1)
         big = np.flatnonzero((size * plan.den >= plan.num * plan.boundary)[ref] & (pos < (size - plan.need(size) + 1)[ref]))
         if len(big):
-            yield _pack(fp, np.column_stack((s, t)), size, mix(g[big]) | np.uint64(0x8000_0000_0000_0000), ref[big], pos[big], plan.parts)
+            r = ref[big]
+            yield _pack(plan.parts, keys=mix(g[big]) | np.uint64(0x8000_0000_0000_0000), fps=fp[r], signs=sign[r], sizes=size[r], places=pos[big])
 
 
 def choose(by_size: np.ndarray, t: float) -> int:
@@ -336,8 +340,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
 
     def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
-        s = np.column_stack([t[c].to_numpy().view(np.uint64) for c in ("a", "s", "t")])
-        sets, place, own = Sets(s, t["size"].to_numpy().astype(np.int64)), t["place"].to_numpy().astype(np.int64), t["own"].to_numpy()
+        fp, sign = (t[c].to_numpy().view(np.uint64) for c in ("a", "sign"))
+        sets, place, own = Sets(fp, sign, t["size"].to_numpy().astype(np.int64)), t["place"].to_numpy().astype(np.int64), t["own"].to_numpy()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out = []
@@ -352,7 +356,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
                 out.append(sets.pairs(x[ok], y[ok]))
         if out:
             p = np.unique(np.concatenate(out), axis=0)
-            yield from _met(np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1]))
+            yield from _met(p[:, 0], p[:, 1])
 
     held: list[pa.RecordBatch] = []
     now = None
@@ -412,7 +416,7 @@ def _verify(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
 def _candidates(prepared: DataFrame, plan: Plan) -> DataFrame:
     """(a, b): classes of sets that may be similar, written."""
     counts, n = _count(prepared, plan)
-    plan = replace(plan, parts=max(4, prepared.sparkSession.sparkContext.defaultParallelism, n // SETS))
+    plan = replace(plan, parts=max(4, n // SETS))
     table = prepared.sparkSession.sparkContext.broadcast(counts)  # 2^BUCKETS bytes
     keys = prepared.select("text").mapInArrow(lambda it: _signatures(it, plan, table.value), PACKED)
     first = written(keys.repartition(plan.parts, "part").mapInArrow(lambda it: _meet(it, plan, False), MET), "met")
@@ -421,7 +425,7 @@ def _candidates(prepared: DataFrame, plan: Plan) -> DataFrame:
     by_size = by_set.groupBy(F.least("size", F.lit(4096)).alias("size")).agg((F.sum(F.col("h") * (F.col("h") - 1)) / 2).alias("subsets"), F.sum("lists").alias("lists")).collect()  # one row a size
     if by_size:
         plan = replace(plan, boundary=choose(np.array(by_size, float), plan.num / plan.den))
-        grouped = heavy.groupBy("a", "size", "s", "t").agg(F.collect_list(F.struct("place", "b")).alias("heavy"))  # elements of one prefix
+        grouped = heavy.groupBy("a", "size", "sign").agg(F.collect_list(F.struct("place", "b")).alias("heavy"))  # elements of one prefix
         keys = grouped.mapInArrow(lambda it: _heavy(it, plan), PACKED)
         second = written(keys.repartition(plan.parts, "part").mapInArrow(lambda it: _meet(it, plan, True), MET), "met")
         found, long = found.unionAll(second.where("n = 0")), second.where("n > 0")
