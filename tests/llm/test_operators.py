@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -545,3 +546,36 @@ def test_keys_hardly_grow_with_the_collection(words):
     assert some[8] < 1.9 and some[200] < 3.5
     # the order still tells frequent elements from rare ones
     assert len(np.unique(huge[own == 0])) > 1 and huge[own > 1].min() > huge[own == 0].max()
+
+
+@pytest.mark.parametrize("n", [30_000, 120_000])
+def test_recall_of_the_five_nearest(spark, tmp_path, n):
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(n // 500 + 1, 64))
+    x = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 64)) * 0.9
+    x = np.clip(np.round(x * 25), -127, 127).astype(np.int8)
+    q = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.int8()))
+    pq.write_table(pa.table({"id": np.arange(n), "q": q}), f"{tmp_path}/v.parquet")
+    found = nearest._neighbours(spark.read.parquet(f"{tmp_path}/v.parquet").repartition(4), 64, 5, -1.0, 0.96)
+    ask = rng.choice(n, 150, replace=False)
+    got = {(r.id, r.other) for r in found.where(F.col("id").isin(ask.tolist())).collect()}
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = set()
+    for i in ask:
+        s = u @ u[i]
+        s[i] = -2
+        want |= {(i, j) for j in np.argsort(-s)[:5]}
+    assert len(got & want) >= 0.95 * len(want) and len(got) == len(want)
+
+
+def test_a_crowded_group_is_worked_on_as_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "GRID", 40)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-90, 90, (1500, 8)).astype(np.int8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, q array<byte>")
+    got = {(r.id, r.other) for r in nearest._neighbours(df, 8, 3, -1.0, 1.0).collect()}
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(1500) for j in np.argsort(-s[i])[:3]}
+    assert len(got & want) > 0.97 * len(want)
