@@ -403,8 +403,10 @@ def _neighbours(distinct: DataFrame, dim: int, k: int, least: float, recall: flo
             of, found = true["id"].to_numpy(), np.frombuffer(b"".join(true["q"].to_pylist()), np.int8).reshape(-1, dim)
             centroids.tune(asking, [found[of == i] for i in ids], recall)
     # the size of a group is estimated from the sample; it decides over the grid only
-    _, near, _, _ = centroids.assign(unit(sample[: 1 << 16].astype(np.float32)))
-    share = np.bincount(centroids.group[near], minlength=centroids.groups) / len(sample[: 1 << 16]) * n
+    some = unit(sample[: 1 << 14].astype(np.float32))
+    row, near, _, _ = centroids.assign(some)
+    entered = np.unique(row * centroids.groups + centroids.group[near]) % centroids.groups
+    share = np.bincount(entered, minlength=centroids.groups) / len(some) * n
     grid = np.ceil(share / (2 * GRID)).astype(np.int64).clip(1)
     sent = spark.sparkContext.broadcast((centroids, grid))
     entries = distinct.mapInArrow(lambda it: _assign(it, *sent.value, dim), ENTRIES_SCHEMA)
