@@ -175,8 +175,9 @@ def test_misreadings():
 
 
 def test_both_sides_of_a_misreading_have_one_shape():
+    forms = scanned.shapes(scanned.MISREAD)
     for a, b in scanned.MISREAD:
-        assert "".join(scanned.SHAPES[c] for c in a) == "".join(scanned.SHAPES[c] for c in b)
+        assert "".join(forms[c] for c in a) == "".join(forms[c] for c in b)
 
 
 def test_all_double_misreadings_are_candidates(spark):
@@ -579,3 +580,33 @@ def test_a_crowded_group_is_worked_on_as_a_grid(spark, monkeypatch):
     np.fill_diagonal(s, -2)
     want = {(i, int(j)) for i in range(1500) for j in np.argsort(-s[i])[:3]}
     assert len(got & want) > 0.97 * len(want)
+
+
+def test_confusions_are_learnt_from_the_collection(spark):
+    """Misreadings that no table names: q read as g, v read as ш, and two for one, tt read as N."""
+    rng = random.Random(8)
+    heads, tails = ["qui", "va", "otto", "squa", "vexi", "bitto", "quo", "revo", "attu", "piqui"], ["ck", "lue", "ndet", "re", "sten", "miru", "lopa", "renti", "zu", "kade", "folu"]
+    frequent = {h + t: rng.randint(60, 400) for h in heads for t in tails}
+    learnt = (("q", "g"), ("v", "ш"), ("tt", "n"))
+    read = {}
+    for w in frequent:
+        for a, b in learnt:
+            if a in w and rng.random() < 0.5:
+                read[w.replace(a, b, 1)] = w
+    read = {r: w for r, w in read.items() if r not in frequent}
+    rows = [(w, n) for w, n in frequent.items()] + [(r, 1) for r in read] + [("unseen", 1), ("vexilopu", 2)]
+    words = spark.createDataFrame(rows, "word string, n long")
+    table = scanned.confusions(scanned.aligned(words))
+    assert {("q", "g"), ("v", "ш")} <= set(table) and set(table) <= set(scanned.MISREAD) | set(learnt)
+    got = {r.read: r.printed for r in scanned.corrections(words).collect()}
+    right = sum(got.get(r) == w for r, w in read.items())
+    assert right >= 0.95 * len(read) and not {"unseen", "vexilopu"} & set(got)
+
+
+def test_titles_as_headers_of_any_form(spark):
+    body = "\n".join(["Some words of a text that goes on and on here", "and then it goes on again to its very end."] * 3)
+    titles = ["Guide to Go, 2nd ed.", "ab", "What is it?", "x" * 150]
+    rows = [chunk(i, f"{t}\n{body}", doc=i) for i, t in enumerate(titles)] + [chunk(9, body, doc=0)]
+    books = spark.createDataFrame([(i, i, f"p{i}", t, None, "ok") for i, t in enumerate(titles)], BOOKS)
+    got = {tuple(r) for r in scanned.noise(spark.createDataFrame(rows, CHUNKS), books).collect()}
+    assert {(i, "header") for i in range(4)} <= got and not any(i == 9 for i, _ in got)
