@@ -610,3 +610,10 @@ def test_titles_as_headers_of_any_form(spark):
     books = spark.createDataFrame([(i, i, f"p{i}", t, None, "ok") for i, t in enumerate(titles)], BOOKS)
     got = {tuple(r) for r in scanned.noise(spark.createDataFrame(rows, CHUNKS), books).collect()}
     assert {(i, "header") for i in range(4)} <= got and not any(i == 9 for i, _ in got)
+
+
+def test_words_of_any_length_are_corrected(spark):
+    long = "abcdefghik" * 30
+    words = spark.createDataFrame([(long, 900), (long.replace("b", "6", 1), 1), (long[:150], 800), ("z" * 200_000, 70), ("z" * 200_000 + "0", 1)], "word string, n long")
+    got = {r.read: r.printed for r in scanned.corrections(words).collect()}
+    assert got.get(long.replace("b", "6", 1)) == long
