@@ -121,9 +121,17 @@ def token_estimate(text: Column) -> Column:
     return F.floor((F.coalesce(F.octet_length(text), F.lit(0)) + 2) / 3)
 
 
+# How a refusal is worded.
+REFUSALS = (
+    "не могу помочь", "не могу предоставить", "не буду помогать", "это может быть незаконн",
+    "i can'?t help", "i cannot assist", "i'?m sorry,? but i can'?t",
+)
+
+
 def refused(answer: Column) -> Column:
-    """An answer that begins as a refusal, by its first 1200 characters."""
-    return F.coalesce(F.lower(F.left(answer, F.lit(1200))).rlike("не могу (?:помочь|выполнить|ответить)|i can(?:no|')t (?:help|assist|comply)|i'm sorry, but"), F.lit(False))
+    """An answer that begins as a refusal, by its first 1200 bytes in UTF-8; null is none."""
+    head = F.make_valid_utf8(F.substring(F.encode(answer, "UTF-8"), 1, 1200).cast("string"))
+    return F.coalesce(head.rlike("(?iu)" + "|".join(REFUSALS)), F.lit(False))
 
 
 def longest_block(answer: Column, lang: str) -> Column:
@@ -177,7 +185,3 @@ def error_kind(message: Column) -> Column:
     m = F.lower(message)
     return F.when(m.contains("no text"), "scan").when(m.contains("encoding") | m.contains("unmapped"), "garbled").when(m.contains("limit"), "skipped").when(m.isNotNull(), "broken")
 
-
-def sentence_split(text: Column) -> Column:
-    """Sentences by end mark, white space and a capital or digit (an approximation without abbreviations)."""
-    return F.split(text, r"(?<=[.!?…])\s+(?=[\p{Lu}\p{Nd}])")

@@ -12,7 +12,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +100,74 @@ def bm25(queries: DataFrame, posting: DataFrame, length: DataFrame, only: DataFr
     return scored.select("query_id", "chunk_id", F.round(F.col("s") * (1 + MATCH_BONUS * (F.col("matched") - 1)), 6).alias("score"), "matched")
 
 
+def bm25_top(queries: DataFrame, posting: DataFrame, length: DataFrame, k: int, only: DataFrame | None = None, stems: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score, matched, rank): the k best of bm25() for every query, without its pairs of all matches.
+
+    Lists of the query terms are dealt out by chunk, so no term is hot; each task scores its chunks for all queries,
+    which travel to it in blocks of QUERY_BLOCK, and gives out what can be among the k best only.
+    """
+    spark = queries.sparkSession
+    corpus = corpus_stats(length).first()
+    n, mean = corpus["n"], float(corpus["avg_len"])
+    terms = query_terms(queries, term_stats(posting), corpus_stats(length), stems)
+    lists = posting if only is None else posting.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    found = None
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if blocks > 1:
+        terms = written(terms, "terms")  # read once a block
+    for block in range(blocks):
+        asked = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toArrow()
+        words = asked["term"].combine_chunks().dictionary_encode()
+        code = words.indices.to_numpy()
+        names, of = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+        df = asked["df"].to_numpy().astype(float)
+        order = np.argsort(code, kind="stable")
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))[order]
+        begins = np.searchsorted(code[order], np.arange(len(words.dictionary) + 1))
+        sent = spark.sparkContext.broadcast((names, of[order], idf, begins))
+        vocabulary = spark.createDataFrame(list(enumerate(words.dictionary.to_pylist())), "code int, term string")
+        met = lists.join(vocabulary, "term").join(length, "chunk_id").select("chunk_id", "code", "tf", "len").repartition("chunk_id")
+        got = met.mapInArrow(lambda it, sent=sent: _score(it, *sent.value, k, mean), "query_id long, chunk_id long, score double, matched long")
+        found = got if found is None else found.unionAll(got)
+    return top(found.withColumn("score", F.round("score", 6)), k)
+
+
+def _score(batches: Iterator[pa.RecordBatch], names: np.ndarray, of: np.ndarray, idf: np.ndarray, begins: np.ndarray, k: int, mean: float) -> Iterator[pa.RecordBatch]:
+    """Scores of a task's chunks; all entries of a chunk are in one task. begins: by term the range of its queries in `of`."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    chunk, code, tf, size = (t[c].to_numpy() for c in ("chunk_id", "code", "tf", "len"))
+    order = np.lexsort((code, chunk))
+    chunk, code, tf, size = chunk[order], code[order], tf[order].astype(float), size[order]
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+    ids, first = np.unique(chunk, return_index=True)
+    first = np.append(first, len(chunk))
+    for c in range(0, len(ids), 4096):
+        rows = slice(first[c], first[min(c + 4096, len(ids))])
+        own = np.searchsorted(ids, chunk[rows]) - c
+        by_code = np.argsort(code[rows], kind="stable")
+        used, at = np.unique(code[rows][by_code], return_index=True)
+        at = np.append(at, len(by_code))
+        w, own = weight[rows][by_code], own[by_code]
+        here = ids[c : c + 4096]
+        for q in range(0, len(names), 256):
+            score, matched = np.zeros((min(256, len(names) - q), len(here))), np.zeros((min(256, len(names) - q), len(here)), np.int32)
+            for j, term in enumerate(used):
+                asking = of[begins[term] : begins[term + 1]]
+                lo, hi = np.searchsorted(asking, (q, q + 256))
+                if lo < hi:
+                    rows_, cols = asking[lo:hi] - q, own[at[j] : at[j + 1]]
+                    score[rows_[:, None], cols] += idf[begins[term] + lo : begins[term] + hi, None] * w[at[j] : at[j + 1]]
+                    matched[rows_[:, None], cols] += 1
+            score *= 1 + MATCH_BONUS * (matched - 1)
+            score[matched == 0] = -1
+            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -1.0)
+            r, j = np.nonzero((matched > 0) & (score >= least[:, None] - 1e-6))  # ties are settled after rounding
+            yield pa.record_batch({"query_id": pa.array(names[q + r]), "chunk_id": pa.array(here[j]), "score": pa.array(score[r, j]), "matched": pa.array(matched[r, j].astype(np.int64))})
+
+
 def top(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best of each query with their rank from 1; ties go to the smaller chunk_id."""
     w = Window.partitionBy("query_id").orderBy(F.col(score).desc(), F.col("chunk_id"))
@@ -105,11 +175,11 @@ def top(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def boost_exact(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits whose text holds the whole query (3 characters or more, any case) score half as much again."""
+    """Hits whose text holds the whole query (3 characters or more, any case) score half as much again; four decimals, halves up."""
     phrase = F.lower(F.trim("q"))
     h = hits.join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", F.col("text").alias("q")), "query_id")
     hit = (F.length(phrase) >= 3) & F.lower("text").contains(phrase)
-    return h.select("query_id", "chunk_id", F.round(F.when(hit, F.col("score") * EXACT_BOOST).otherwise(F.col("score")), 4).alias("score"), F.coalesce(hit, F.lit(False)).alias("exact"))
+    return h.select("query_id", "chunk_id", (F.floor(F.when(hit, F.col("score") * EXACT_BOOST).otherwise(F.col("score")) * 10_000 + 0.5) / 10_000).alias("score"), F.coalesce(hit, F.lit(False)).alias("exact"))
 
 
 def quantised(vector: Column) -> Column:
@@ -147,8 +217,6 @@ def _scanner(sent, k: int, min_cosine: float):
     """A task's scan of its vectors for a block of queries."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         ids = np.array([i for i, _ in sent.value])
         q = np.array([x for _, x in sent.value], np.float32)
         best = None
@@ -268,12 +336,13 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = No
     queries may carry q, the quantised vector of the query. Chunks of deleted documents (doc_id) never come out.
     """
     live = chunks if deleted is None else chunks.join(deleted.select("doc_id").distinct(), "doc_id", "left_anti")
+    live = written(live, "live")  # both legs and the refinement read it
     posting = written(postings(live, stems), "postings")  # read for frequencies, lengths and lists
-    lexical = bm25(queries, posting, lengths(posting, live), stems=stems)
+    lexical = bm25_top(queries, posting, lengths(posting, live), CANDIDATES, stems=stems)
     if vectors is None or "q" not in queries.columns:
         return refine(lexical, live, queries, options)
     near = vector_hits(queries.select("query_id", "q"), vectors, CANDIDATES, options.min_cosine, live)
-    return refine(fuse([(top(lexical, CANDIDATES), 1.0), (near, options.semantic_weight)]), live, queries, options)
+    return refine(fuse([(lexical, 1.0), (near, options.semantic_weight)]), live, queries, options)
 
 
 def around(chunks: DataFrame, asked: DataFrame, reach: int = 1) -> DataFrame:

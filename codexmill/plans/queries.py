@@ -86,27 +86,27 @@ def query_term_pruning(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     _, p, n = index(spark, d)
-    return search.top(search.bm25(items(spark, d), p, n), 8).select("query_id", "rank", "chunk_id", "score")
+    return search.bm25_top(items(spark, d), p, n, 8).select("query_id", "rank", "chunk_id", "score")
 
 
 @query
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     c, p, n = index(spark, d)
-    return search.top(search.bm25(items(spark, d), p, n, c.where("lang = 'en'")), 8).select("query_id", "rank", "chunk_id", "score")
+    return search.bm25_top(items(spark, d), p, n, 8, c.where("lang = 'en'")).select("query_id", "rank", "chunk_id", "score")
 
 
 @query
 def bm25_phrase_boost(spark: SparkSession, d: str) -> DataFrame:
     c, p, n = index(spark, d)
-    best = search.top(search.bm25(items(spark, d), p, n), 8 * search.HEAD).select("query_id", "chunk_id", "score")
+    best = search.bm25_top(items(spark, d), p, n, 8 * search.HEAD).select("query_id", "chunk_id", "score")
     return search.top(search.boost_exact(best, c, items(spark, d)), 8).select("query_id", "rank", "chunk_id", "score", "exact")
 
 
 @query
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     c, p, n = index(spark, d)
-    all_, en = search.bm25(items(spark, d), p, n), search.bm25(items(spark, d), p, n, c.where("lang = 'en'"))
-    return search.top(search.fuse([(search.top(all_, 200), 1.0), (search.top(en, 200), 0.5)]), 8).select("query_id", "rank", "chunk_id", "score")
+    all_, en = search.bm25_top(items(spark, d), p, n, 200), search.bm25_top(items(spark, d), p, n, 200, c.where("lang = 'en'"))
+    return search.top(search.fuse([(all_, 1.0), (en, 0.5)]), 8).select("query_id", "rank", "chunk_id", "score")
 
 
 @query
@@ -150,7 +150,7 @@ def stemmed_terms(spark: SparkSession, d: str) -> DataFrame:
 @query
 def refined_search(spark: SparkSession, d: str) -> DataFrame:
     c, p, n = index(spark, d, stems=True)
-    return search.refine(search.bm25(items(spark, d), p, n, stems=True), c, items(spark, d))
+    return search.refine(search.bm25_top(items(spark, d), p, n, 8 * search.HEAD, stems=True), c, items(spark, d))
 
 
 @query

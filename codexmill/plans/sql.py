@@ -67,9 +67,9 @@ ORACLE = {
     "query_term_pruning": f"with {INDEX}, {_bm25('s', 'text')} select query_id, term, df from s_t",
     "bm25_topk": f"with {INDEX}, {_bm25('s', 'text')} {_rank('s', 8)}",
     "bm25_filtered": f"with {INDEX}, {_bm25('s', 'text', only=chr(39).join(['lang = ', 'en', '']))} {_rank('s', 8)}",
-    "bm25_phrase_boost": f"""with {INDEX}, {_bm25('s', "array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')")}, b as ({_rank('s', 50)}),
+    "bm25_phrase_boost": f"""with {INDEX}, {_bm25('s', 'text')}, b as ({_rank('s', 96)}),
         e as (select b.query_id, chunk_id, length(trim(s_q.text)) >= 3 and contains(lower(d.text), lower(trim(s_q.text))) exact, score s0 from b join d on d.doc_id = b.chunk_id join s_q on s_q.query_id = b.query_id),
-        f as (select query_id, chunk_id, exact, round(case when exact then s0 * 1.5 else s0 end, 4) score from e)
+        f as (select query_id, chunk_id, exact, floor(case when exact then s0 * 1.5 else s0 end * 10000 + 0.5) / 10000 score from e)
         select query_id, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) rank, chunk_id, score, exact from f qualify rank <= 8""",
     "rrf_fusion": f"""with {INDEX}, {_bm25('s', 'text')}, {_bm25('e', 'text', only=chr(39).join(['lang = ', 'en', '']))}, a as ({_rank('s', 200)}), b as ({_rank('e', 200)}),
         f as (select query_id, chunk_id, round(sum(x), 6) score from (select query_id, chunk_id, 1.0::double / (20 + rank) x from a union all select query_id, chunk_id, 0.5::double / (20 + rank) from b) group by all) {_rank('f', 8)}""",
@@ -107,7 +107,7 @@ ORACLE = {
     "read_lines": "select doc_id, i line_no, line from (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) i from documents where text is not null) where i between 1 and 3",
     "text_measures": r"""select doc_id, (strlen(text) + 2) // 3 tokens, len(regexp_extract_all(text, '[\p{L}\p{Nd}_\-]+')) words,
         len(list_filter(regexp_extract_all(text, '[а-яА-ЯёЁa-zA-Z0-9_'']+'), lambda x: regexp_matches(x, '[а-яА-ЯёЁ]') and regexp_matches(x, '[a-zA-Z]'))) mixed,
-        regexp_matches(lower(left(text, 1200)), 'не могу (?:помочь|выполнить|ответить)|i can(?:no|'')t (?:help|assist|comply)|i''m sorry, but') refused from documents where text is not null""",
+        strlen(regexp_extract(text, '(?is)^.*?(?:не могу помочь|не могу предоставить|не буду помогать|это может быть незаконн|i can''?t help|i cannot assist|i''?m sorry,? but i can''?t)')) between 1 and 1200 refused from documents where text is not null""",
     "small_formats": """select p_partkey, translate(p_name, ':/ ', '___') safe, cast(p_size as bigint) * 1024 tokens, 'skipped' kind, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-zа-я ]', '', 'g'), ' +', ' ', 'g')) title from part""",
     "registry_last_wins": f"with {REGISTRY} select path, seq, id, kind from reg",
     "sync_pending": f"""with {REGISTRY}, disk as (select path, mtime m, size s from listings where path is not null qualify row_number() over (partition by path order by mtime desc nulls last, size desc nulls last) = 1),
