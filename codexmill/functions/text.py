@@ -95,13 +95,19 @@ def normal_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-zа-я ]", ""), " +", " "))
 
 
+def html_entities(text: Column) -> Column:
+    """Named entities as the characters they stand for."""
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def html_to_text(html: Column) -> Column:
     """Rough text of HTML: scripts and styles dropped, some tags as line breaks, entities in one pass, lines trimmed."""
     t = F.regexp_replace(html, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", "")
     t = F.regexp_replace(t, r"(?i)<br ?/?>|</(?:p|div|h1|h2|h3|h4|li|tr)>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
-    for entity, char in ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = html_entities(t)
     lines = F.array_join(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), "\n")
     return F.regexp_replace(F.regexp_replace(lines, "\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 

@@ -147,3 +147,21 @@ class Collection:
     def drop(self) -> None:
         fs, path = self._fs()
         fs.delete(path(self.root), True)
+
+
+def books_matching(books: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(want, id): current good books whose title, author or path holds `want`, in any case.
+
+    wanted: want, the texts that are asked for, a table of a few rows.
+    """
+    current = registry(books).where("kind = 'ok'")
+    hay = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("author", F.lit("")), F.coalesce("path", F.lit(""))))
+    asked = wanted.select("want").where("want is not null").distinct()
+    return current.select("id", hay.alias("hay")).join(asked, F.col("hay").contains(F.lower("want"))).select("want", "id")
+
+
+def books_named(books: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(want, id): the first current book whose path, or whose file name, is `want`; what forgetting a book by name deletes."""
+    current = registry(books).where("kind <> 'gone'").select("id", "path")
+    both = current.select("id", F.explode(F.array_distinct(F.array("path", F.element_at(F.split("path", "/"), -1)))).alias("want"))
+    return both.join(wanted.select("want").distinct(), "want").groupBy("want").agg(F.min("id").alias("id"))

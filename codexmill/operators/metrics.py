@@ -120,3 +120,47 @@ def worklist(tasks: DataFrame, models: DataFrame, repeats: int, done: DataFrame)
     """(model, task, repeat) still to do: eligible models x tasks x repeats without what is done."""
     every = models.crossJoin(F.broadcast(tasks)).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     return every.join(done.select("model", "task", "repeat").distinct(), ["model", "task", "repeat"], "left_anti")
+
+
+def users_max(budget: Column, base: Column, slope: Column, window: Column) -> Column:
+    """How many users with a window of tokens fit a budget; 0 where nothing is left."""
+    each = window * slope
+    return F.when((window > 0) & (each > 0) & (budget > base), F.floor((budget - base) / each)).otherwise(F.lit(0)).cast("long")
+
+
+def users_at_full(samples: DataFrame, fits: DataFrame, by: str, x: str, y: str, budget: float, most: int, verified: int, spilled: Column) -> DataFrame:
+    """(by, users, usable, per_token): users with the whole window of the model.
+
+    Where the largest verified window is below the model's and was measured without spilling, that measurement takes
+    the place of the budget and of the fitted slope.
+    """
+    at = samples.where((F.col(x) == verified) & ~spilled).groupBy(by).agg(F.min(y).alias("total"))
+    known = fits.join(at, by, "left") if 0 < verified and (most == 0 or verified < most) else fits.withColumn("total", F.lit(None).cast("double"))
+    usable = F.coalesce(F.col("total"), F.lit(float(budget)))
+    each = F.when(F.col("total").isNotNull(), (F.col("total") - F.col("base")) / F.lit(float(max(verified, 1)))).otherwise(F.greatest("slope", F.coalesce("top_slope", "slope")))
+    out = known.withColumn("usable", usable).withColumn("per_token", each)
+    return out.select(by, users_max(F.col("usable"), F.col("base"), F.col("per_token"), F.lit(most)).alias("users"), F.round("usable", 4).alias("usable"), F.round("per_token", 6).alias("per_token"))
+
+
+def sample_points(most: Column, points: Column | None = None) -> Column:
+    """Windows to measure at: those given, else an eighth, a quarter and half of the largest; in steps, in order, each once."""
+    whole = F.when(most > 0, most).otherwise(F.lit(32768))
+    raw = F.transform(F.array(F.lit(8), F.lit(4), F.lit(2)), lambda k: F.floor(whole / k)) if points is None else points
+    stepped = F.transform(raw, lambda p: F.greatest(F.floor(p / BUDGET_STEP) * BUDGET_STEP, F.lit(BUDGET_STEP)))
+    limit = most if points is not None else whole
+    return F.array_distinct(F.transform(stepped, lambda p: F.when(limit > 0, F.least(p, limit)).otherwise(p)))
+
+
+def usable_budget(total: Column, baseline: Column, override: Column, reserve: Column) -> Column:
+    """What a model may take: the override, else what is there less what others hold, both less a reserve; null if unknown."""
+    return F.when(override > 0, override - reserve).when(total.isNotNull(), total - baseline - reserve)
+
+
+def last_of_role(messages: DataFrame, by: str, order: str, role: str) -> DataFrame:
+    """(by, last_id): the largest `order` of a row with that role, -1 where there is none."""
+    return messages.groupBy(by).agg(F.coalesce(F.max(F.when(F.col("role") == role, F.col(order))), F.lit(-1)).alias("last_id"))
+
+
+def checklist(hits: DataFrame, by: list[str], weight: str) -> DataFrame:
+    """(by, score): the sum of the weights of the items an answer hits, never below 0."""
+    return hits.groupBy(*by).agg(F.round(F.greatest(F.coalesce(F.sum(weight), F.lit(0.0)), F.lit(0.0)), 6).alias("score"))

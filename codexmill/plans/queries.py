@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexmill.functions import small
 from codexmill.functions import text as T
 from codexmill.functions.diff import diff_ops, diff_stat
 from codexmill.functions.stem import stem_udf
@@ -437,6 +438,90 @@ def embed_missing(spark: SparkSession, d: str) -> DataFrame:
     return embedding.embed_missing(c, books, vectors, embedding.word_hashing(64), "emb-multi-2")
 
 
+@query
+def books_matching(spark: SparkSession, d: str) -> DataFrame:
+    wanted = spark.createDataFrame([("go",), ("систем",), ("/old/2019/",), ("nowhere",)], "want string")
+    return maintain.books_matching(table(spark, d, "books"), wanted)
+
+
+@query
+def books_named(spark: SparkSession, d: str) -> DataFrame:
+    """Every file name that a listing holds, looked up among the books."""
+    wanted = table(spark, d, "listings").where("path is not null").select(F.element_at(F.split("path", "/"), -1).alias("want"))
+    return maintain.books_named(table(spark, d, "books"), wanted)
+
+
+@query
+def chunk_refs(spark: SparkSession, d: str) -> DataFrame:
+    c = current(spark, d).where("collection is not null and ord is not null")
+    forms = F.array(F.concat("collection", F.lit("/"), "doc_id", F.lit("#"), "ord"), F.concat("doc_id", F.lit("#"), "ord"), F.concat(F.lit("attic/"), "doc_id", F.lit("#"), "ord"), F.concat("doc_id", F.lit("-"), "ord"))
+    refs = c.select("chunk_id", "collection", F.posexplode(forms).alias("form", "ref"))
+    return refs.select("chunk_id", F.col("form").cast("long").alias("form"), small.chunk_ref(F.col("ref"), F.col("collection")).alias("r")).select("chunk_id", "form", "r.doc_id", "r.ord", "r.error")
+
+
+@query
+def byte_cuts(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).select("doc_id", small.cut_bytes(F.col("text"), 1024).alias("text"))
+
+
+@query
+def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).select("doc_id", small.numbered(F.col("text"), 2, 3).alias("text"))
+
+
+@query
+def common_indent(spark: SparkSession, d: str) -> DataFrame:
+    indented = F.concat(F.lit("  "), F.replace("text", F.lit("\n"), F.lit("\n  ")))
+    return current(spark, d).where("text is not null").select("chunk_id", small.without_common_indent(indented).alias("text"))
+
+
+@query
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    html = F.concat(F.lit("<nav><a class='x' href='c"), "doc_id", F.lit(".html'>\n  <b>"), F.coalesce("title", F.lit("")), F.lit("</b> </a><a>none</a><a href=''>no place</a><A HREF=\"#top\">up &amp; away</A></nav>"))
+    rows = texts(spark, d, "documents").select("doc_id", F.posexplode(small.links(html)).alias("place", "l"))
+    return rows.select("doc_id", F.col("place").cast("long").alias("place"), "l.href", "l.text")
+
+
+@query
+def number_parsers(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").cast("string").alias("c"))
+    page = F.when(F.col("o_custkey") % 2 == 1, F.concat("k", F.lit("-"), "c")).otherwise(F.col("k"))
+    label, sizes = F.concat("c", F.lit("."), "k"), F.concat("k", F.lit("k,x,"), "c", F.lit("m,7"))
+    got = o.select("o_orderkey", small.page_spec(page).alias("p"), small.figure_label(label).alias("f"), small.number_list(sizes).alias("n"), small.valid_name(F.concat("k", F.lit("_-"), "c")).alias("name_ok"))
+    return got.select("o_orderkey", F.col("p.first").alias("first_page"), F.col("p.count").alias("pages"), "f.unit", "f.figure", F.array_join(F.transform("n", lambda x: x.cast("string")), " ").alias("sizes"), "name_ok")
+
+
+@query
+def context_meters(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem")
+    used, most = F.col("l_partkey") + F.col("l_suppkey"), F.col("l_orderkey") - 100
+    return l.select("l_orderkey", "l_linenumber", small.percent(used, most).alias("percent"), small.bar(used, most, 10).alias("bar"), F.round(small.per_second(F.col("l_partkey"), used * 1_000_000 - 1_000_000_000), 6).alias("rate"))
+
+
+@query
+def users_at_full_window(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "lineitem")
+    return metrics.users_at_full(s, _fits(spark, d), "l_returnflag", "l_quantity", "l_extendedprice", 50_000_000.0, 1024, 40, F.col("l_extendedprice") > 80_000)
+
+
+@query
+def sample_points(spark: SparkSession, d: str) -> DataFrame:
+    most = F.col("o_custkey") * 17 - 500
+    got = table(spark, d, "orders").select("o_orderkey", metrics.sample_points(most).alias("p"), metrics.usable_budget(F.col("o_totalprice"), F.lit(1000.0), F.col("o_custkey") - 700.0, F.lit(250.0)).alias("usable"))
+    return got.select("o_orderkey", F.array_join(F.transform("p", lambda x: x.cast("string")), " ").alias("points"), F.round("usable", 2).alias("usable"))
+
+
+@query
+def last_question(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.last_of_role(messages(spark, d), "user_id", "event_id", "user")
+
+
+@query
+def checklist_scores(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("weight", F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value") / 8))
+    return metrics.checklist(e, ["user_id"], "weight")
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.changed_since_success(table(spark, d, "listings"), table(spark, d, "runs")).select("run_id", "path")

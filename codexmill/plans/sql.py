@@ -163,6 +163,42 @@ ORACLE = {
         x as (select o.*, r.status = 'ok' ok from o join runs r using (run_id)),
         p as (select *, last_value(case when ok then {'s': size, 'm': mtime} end ignore nulls) over (partition by path order by run_id rows between unbounded preceding and 1 preceding) seen from x)
         select run_id, path from p where seen is null or seen.s <> size or seen.m <> mtime""",
+    "books_matching": f"""with {REGISTRY}, w as (select unnest(['go', 'систем', '/old/2019/', 'nowhere']) want)
+        select want, id from reg, w where kind = 'ok' and contains(lower(coalesce(title, '') || chr(10) || coalesce(author, '') || chr(10) || coalesce(path, '')), want)""",
+    "books_named": f"""with {REGISTRY}, w as (select distinct split_part(path, '/', -1) want from listings where path is not null)
+        select want, min(id) id from (select id, split_part(path, '/', -1) want from reg where kind <> 'gone') join w using (want) group by want""",
+    "chunk_refs": f"""with {CURRENT}, c as (select * from cur where collection is not null and ord is not null and doc_id is not null)
+        select chunk_id, 0::bigint form, doc_id, ord, null::varchar error from c union all select chunk_id, 1, doc_id, ord, null from c union all
+        select chunk_id, 2, case when collection = 'attic' then doc_id end, case when collection = 'attic' then ord end, case when collection <> 'attic' then 'other collection' end from c
+        union all select chunk_id, 3, null, null, 'malformed' from c""",
+    "byte_cuts": """with t as (select doc_id, text, strlen(text) n, len(list_filter(range(1, least(length(text), 1024) + 1), lambda i: strlen(left(text, i)) <= 1024)) k from documents where text is not null)
+        select doc_id, case when n <= 1024 then text else left(text, k) || chr(10) || chr(10) || '[cut: ' || strlen(left(text, k)) || ' of ' || n || ' bytes]' end text from t""",
+    "numbered_lines": """with t as (select doc_id, string_split(text, chr(10)) l from documents where text is not null)
+        select doc_id, case when len(l) < 2 then '[' || len(l) || ' lines, none from 2]' || chr(10)
+            else array_to_string(list_transform(range(2, least(len(l), 4) + 1), lambda i: lpad(i::varchar, 6, ' ') || chr(9) || l[i] || chr(10)), '')
+                || case when len(l) > 4 then chr(10) || '[lines 2-4 of ' || len(l) || ']' || chr(10) else '' end end text from t""",
+    "common_indent": f"""with {CURRENT}, t as (select chunk_id, string_split('  ' || replace(text, chr(10), chr(10) || '  '), chr(10)) l from cur where text is not null),
+        m as (select *, list_min(list_transform(list_filter(l, lambda x: trim(regexp_replace(x, '\\s', ' ', 'g')) <> ''), lambda x: length(x) - length(ltrim(x)))) i from t)
+        select chunk_id, case when i > 0 then array_to_string(list_transform(l, lambda x: case when length(x) >= i then substring(x, i + 1) else x end), chr(10)) else array_to_string(l, chr(10)) end text from m""",
+    "html_links": """with t as (select doc_id, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) t from documents)
+        select doc_id, 0::bigint place, 'c' || doc_id || '.html' href, t text from t where t <> '' union all select doc_id, case when t <> '' then 1 else 0 end, '#top', 'up & away' from t""",
+    "number_parsers": """with o as (select o_orderkey, o_orderkey::varchar k, o_custkey::varchar c, o_orderkey a, o_custkey b from orders),
+        x as (select *, a >= 1 and (b % 2 = 0 or b >= a) good from o)
+        select o_orderkey, case when good then a end first_page, case when good then case when b % 2 = 1 then b - a + 1 else 1 end end pages, case when b > 0 then b::int end unit, case when b > 0 then a::int end figure,
+            concat_ws(' ', case when a > 0 then (a * 1024)::varchar end, case when b > 0 then (b * 1048576)::varchar end, '7') sizes, true name_ok from x""",
+    "context_meters": """with m as (select *, l_partkey + l_suppkey used, l_orderkey - 100 most from lineitem),
+        p as (select *, cast(case when most > 0 then least(floor(used * 100 / most), 100) else -1 end as int) percent, (used * 1000000 - 1000000000) ns from m)
+        select l_orderkey, l_linenumber, percent, repeat('█', cast(floor(greatest(percent, 0) / 10) as int)) || repeat('░', 10 - cast(floor(greatest(percent, 0) / 10) as int)) bar,
+            round(case when l_partkey > 0 and ns > 0 then l_partkey / (ns / 1e9) else 0.0 end, 6) rate from p""",
+    "users_at_full_window": f"""with {FIT}, tot as (select l_returnflag, min(l_extendedprice) total from lineitem where l_quantity = 40 and not l_extendedprice > 80000 group by l_returnflag),
+        b as (select fit.*, total, coalesce(total, 5e7) usable, case when total is not null then (total - base) / 40.0 else greatest(slope, coalesce(top_slope, slope)) end per from fit left join tot using (l_returnflag))
+        select l_returnflag, cast(case when 1024 * per > 0 and usable > base then floor((usable - base) / (1024 * per)) else 0 end as bigint) users, round(usable, 4) usable, round(per, 6) per_token from b""",
+    "sample_points": """with m as (select o_orderkey, o_totalprice, o_custkey, case when o_custkey * 17 - 500 > 0 then o_custkey * 17 - 500 else 32768 end w from orders),
+        p as (select *, list_transform([w // 8, w // 4, w // 2], lambda x: least(greatest(x // 1024 * 1024, 1024), w)) l from m)
+        select o_orderkey, array_to_string(list_filter(l, lambda x, i: i = 1 or not list_contains(l[1:i - 1], x)), ' ') points,
+            round(case when o_custkey - 700.0 > 0 then o_custkey - 700.0 - 250.0 else o_totalprice - 1250.0 end, 2) usable from p""",
+    "last_question": f"with {MESSAGES} select user_id, coalesce(max(event_id) filter (role = 'user'), -1) last_id from m group by user_id",
+    "checklist_scores": "select user_id, round(greatest(coalesce(sum(case when event_type = 'error' then -value else value / 8 end), 0.0), 0.0), 6) score from events group by user_id",
     "p4_ledger": """select run_id, seq from (select b.seq, (select min(r.run_id) from runs r where r.status = 'ok' and b.at_sec <= floor(epoch(r.finished_at))) run_id from books b where b.seq is not null) where run_id is not null""",
 }
 
