@@ -221,19 +221,20 @@ def test_near_duplicates_are_complete(spark, words, monkeypatch, light, boundary
             rows.append(chunk(i + k, ", ".join(v).upper() if k == 2 else " ".join(v)))
     rows += [chunk(1000, "too short"), chunk(1001, None), chunk(1002, ""), chunk(3, rows[0][8], -5), rows[5], chunk(None, rows[0][8])]
     if light:
-        monkeypatch.setattr(near_duplicates, "choose", lambda *a: (light, boundary))
-    got = {tuple(r) for r in near_duplicates.near_duplicate_chunks(spark.createDataFrame(rows, CHUNKS)).collect()}
+        monkeypatch.setattr(near_duplicates, "choose", lambda *a: boundary)
+    plan = near_duplicates.Plan(near_duplicates.word_sets, 3, 5, 25, light=light or near_duplicates.LIGHT, deal=10)
+    got = {tuple(r) for r in near_duplicates._pairs(*near_duplicates._classes(near_duplicates.prepare_chunks(spark.createDataFrame(rows, CHUNKS)), plan)).collect()}
+    if not light:
+        assert got == {tuple(r) for r in near_duplicates.near_duplicate_chunks(spark.createDataFrame(rows, CHUNKS)).collect()}
     now = {r[0]: r[8] for r in rows if r[0] is not None and r[9] >= T0 and r[8]}
     want = jaccard_pairs({i: s for i, t in now.items() if len(s := sets_of(t)) >= 25}, 3, 5)
     assert got == want and want
 
 
-def test_books_and_copies(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "EXPAND", 5)
+def test_books_and_copies(spark):
     rows = [(i, i, f"/p{i}", "The Same Book of Channels", "A. Author", "ok") for i in range(1, 10)] + [(20, 20, "/q", "The Same Book of Channel", None, "ok"), (21, 21, "/r", None, "x", "ok"), (22, 22, "/s", "", "x", "ok"), (23, 23, "/t", "Ab", None, "ok"), (24, 24, "/u", "Ab", None, "ok")]
     got = {tuple(r) for r in near_duplicates.near_duplicate_books(spark.createDataFrame(rows, BOOKS)).collect()}
-    # nine copies are a class of more than EXPAND: a star around its smallest id
-    assert got == {(1, i) for i in range(2, 10)}
+    assert got == {(a, b) for a in range(1, 10) for b in range(a + 1, 10)}
     assert near_duplicates.near_duplicate_books(spark.createDataFrame([], BOOKS)).count() == 0
 
 
