@@ -15,19 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Rewriting rules of steps 2 and 3 and the suffixes of step 4, in order of trial.
-STEP2 = "ational>ate tional>tion enci>ence anci>ance izer>ize abli>able alli>al entli>ent eli>e ousli>ous ization>ize ation>ate ator>ate alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble"
-STEP3 = "icate>ic ative> alize>al iciti>ic ical>ic ful> ness>"
-STEP4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize"
+STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+STEP3 = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+)
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 # Endings of Russian words by class.
-GERUND_AFTER_A = "вшись вши в"
-GERUND = "ывшись ившись ывши ивши ыв ив"
-ADJECTIVE = "ыми ими его ого ему ому ее ие ые ое ей ий ый ой ем им ым ом их ых ую юю ая яя ою ею"
-PARTICIPLE = "ующ ивш ывш"
-REFLEXIVE = "ся сь"
-VERB = "уйте ейте ила ыла ена ите или ыли ило ыло ено ует уют ены ить ыть ишь ей уй ил ыл им ым ен ят ит ыт ую ю"
-NOUN = "иями ями ами иях ях ах ией иям ием ии ие ье ев ов еи ей ой ий ям ем ам ом ию ью ия ья а е и й о у ы ь ю я"
-SUPERLATIVE = "ейше ейш"
-DERIVATIONAL = "ость ост"
+GERUND_AFTER_A = ("вшись", "вши", "в")
+GERUND = ("ывшись", "ившись", "ывши", "ивши", "ыв", "ив")
+ADJECTIVE = ("ыми", "ими", "его", "ого", "ему", "ому", "ее", "ие", "ые", "ое", "ей", "ий", "ый", "ой", "ем", "им", "ым", "ом", "их", "ых", "ую", "юю", "ая", "яя", "ою", "ею")
+PARTICIPLE = ("ующ", "ивш", "ывш")
+REFLEXIVE = ("ся", "сь")
+VERB = ("уйте", "ейте", "ила", "ыла", "ена", "ите", "или", "ыли", "ило", "ыло", "ено", "ует", "уют", "ены", "ить", "ыть", "ишь", "ей", "уй", "ил", "ыл", "им", "ым", "ен", "ят", "ит", "ыт", "ую", "ю")
+NOUN = ("иями", "ями", "ами", "иях", "ях", "ах", "ией", "иям", "ием", "ии", "ие", "ье", "ев", "ов", "еи", "ей", "ой", "ий", "ям", "ем", "ам", "ом", "ию", "ью", "ия", "ья", "а", "е", "и", "й", "о", "у", "ы", "ь", "ю", "я")
+SUPERLATIVE = ("ейше", "ейш")
+DERIVATIONAL = ("ость", "ост")
 
 
 def _shape(word: str) -> str:
@@ -47,13 +51,6 @@ def _ends_cvc(stem: str) -> bool:
     return _shape(stem).endswith("cvc") and stem[-1] not in "wxy"
 
 
-def _rules(text: str) -> list[tuple[str, str]]:
-    return [tuple(r.split(">")) for r in text.split()]
-
-
-_step2, _step3, _step4 = _rules(STEP2), _rules(STEP3), STEP4.split()
-
-
 def _rewrite(word: str, rules: list[tuple[str, str]]) -> str:
     return next((word[: -len(old)] + new for old, new in rules if word.endswith(old) and _vc(word[: -len(old)]) > 0), word)
 
@@ -78,11 +75,11 @@ def english(word: str) -> str:
                 w += "e"
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    w = _rewrite(_rewrite(w, _step2), _step3)
+    w = _rewrite(_rewrite(w, STEP2), STEP3)
     if re.search("[st]ion$", w) and _vc(w[:-3]) > 1:
         w = w[:-3]
     else:
-        hit = next((s for s in _step4 if w.endswith(s)), None)
+        hit = next((s for s in STEP4 if w.endswith(s)), None)
         if hit and _vc(w[: -len(hit)]) > 1:
             w = w[: -len(hit)]
     if w.endswith("e"):
@@ -92,9 +89,9 @@ def english(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _vc(w) > 1 else w
 
 
-def _ending(endings: str, before: str = "") -> re.Pattern:
+def _ending(endings: tuple[str, ...], before: str = "") -> re.Pattern:
     """A regular expression of the longest of these endings at the end of a word."""
-    return re.compile(f"{before}(?:{'|'.join(sorted(endings.split(), key=len, reverse=True))})$")
+    return re.compile(f"{before}(?:{'|'.join(sorted(endings, key=len, reverse=True))})$")
 
 
 _gerund, _gerund_a = _ending(GERUND), _ending(GERUND_AFTER_A, "(?<=[ая])")

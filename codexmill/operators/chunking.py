@@ -21,7 +21,7 @@ from codexmill.functions import text as T
 #: A running header is no longer than this.
 HEAD_LINE = 90
 # Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = frozenset("т.д т.п т.е рис табл гл см стр др fig eq ex vs etc e.g i.e no vol ch".split())
+ABBREVIATIONS = frozenset(("т.д", "т.п", "т.е", "рис", "табл", "гл", "см", "стр", "др", "fig", "eq", "ex", "vs", "etc", "e.g", "i.e", "no", "vol", "ch"))
 
 
 @dataclass(frozen=True)

@@ -56,9 +56,14 @@ def breakdown(books: DataFrame, roots: list[str]) -> DataFrame:
 
 def folder_report(folders: DataFrame, most: int = 12) -> DataFrame:
     """The largest folders, the rest summed up as one row with rank most + 1."""
-    w = Window.orderBy(F.col("books").desc(), "folder")  # a handful of folders
-    r = folders.withColumn("r", F.row_number().over(w))
-    return r.groupBy(F.when(F.col("r") <= most, F.col("r")).otherwise(most + 1).alias("rank")).agg(F.when(F.max("r") <= most, F.max("folder")).otherwise(F.lit("(rest)")).alias("folder"), F.count("*").alias("folders"), F.sum("books").alias("books"), F.sum("chunks").alias("chunks"))
+    head = folders.orderBy(F.col("books").desc(), "folder").limit(most)
+    w = Window.orderBy(F.col("books").desc(), "folder")  # over `most` rows
+    named = head.withColumn("rank", F.row_number().over(w)).select("rank", "folder", F.lit(1).cast("long").alias("folders"), "books", "chunks")
+    # those behind the last of the head, without a rank for each
+    last = head.orderBy("books", F.col("folder").desc()).limit(1).select(F.col("books").alias("__b"), F.col("folder").alias("__f"))
+    behind = (F.col("books") < F.col("__b")) | ((F.col("books") == F.col("__b")) & (F.col("folder") > F.col("__f")))
+    rest = folders.crossJoin(F.broadcast(last)).where(behind).agg(F.count("*").alias("folders"), F.sum("books").alias("books"), F.sum("chunks").alias("chunks")).where("folders > 0")
+    return named.unionAll(rest.select(F.lit(most + 1).alias("rank"), F.lit("(rest)").alias("folder"), "folders", "books", "chunks"))
 
 
 def stats(books: DataFrame, chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:

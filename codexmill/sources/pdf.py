@@ -193,7 +193,7 @@ class Document:
             raise PdfError("encrypted document")
         self.objects: dict[int, object] = {}
         for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b", data):
-            got = next(tokens(data[: m.end() + (1 << 20)], m.end()), None)
+            got = next(tokens(data, m.end()), None)
             if got is None:
                 continue
             value, end = got
