@@ -45,8 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path for a written intermediate table under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/codexmill/{what}-{uuid.uuid4().hex[:12]}"
+    """A new path for a written intermediate table, in a folder of this application under the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/codexmill/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/codexmill/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df, what: str):
