@@ -195,11 +195,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), dot / F.lit(16129.0)).otherwise(F.lit(0.0))
 
 
-def vector_hits(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, min_cosine: float = 0.0, only: DataFrame | None = None) -> DataFrame:
+def vector_hits(queries: DataFrame, vectors: DataFrame, k: int | None = CANDIDATES, min_cosine: float = 0.0, only: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, cosine, rank): exact scan of all vectors for a stated set of queries.
 
     queries: query_id, q. The queries travel to the vectors in blocks of QUERY_BLOCK (NumPy products over Arrow
-    batches); each task keeps its k best, and those are merged. Cosines below min_cosine don't count.
+    batches); each task keeps its k best, and those are merged. Cosines below min_cosine don't count. Without a k all
+    others come out, and no rank.
     """
     v = vectors if only is None else vectors.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
     spark = queries.sparkSession
@@ -210,10 +211,11 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, min
         sent = spark.sparkContext.broadcast([(r["query_id"], r["q"]) for r in part.select("query_id", "q").collect()])
         got = v.select("chunk_id", "q").mapInPandas(_scanner(sent, k, min_cosine), "query_id long, chunk_id long, cosine double")
         found = got if found is None else found.unionAll(got)
-    return top(found.withColumn("cosine", F.round("cosine", 6)), k, "cosine")
+    found = found.withColumn("cosine", F.round("cosine", 6))
+    return found if k is None else top(found, k, "cosine")
 
 
-def _scanner(sent, k: int, min_cosine: float):
+def _scanner(sent, k: int | None, min_cosine: float):
     """A task's scan of its vectors for a block of queries."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,10 +232,13 @@ def _scanner(sent, k: int, min_cosine: float):
             chunk = b["chunk_id"].to_numpy()
             cos = q @ np.stack(b["q"].to_numpy()).astype(np.float32).T 
             floor = np.full(len(ids), min_cosine * 16129.0)
-            if cos.shape[1] > k:  # what can be among the k best of this batch, ties included
+            if k and cos.shape[1] > k:  # what can be among the k best of this batch, ties included
                 floor = np.maximum(floor, np.partition(cos, -k, axis=1)[:, -k])
             r, c = np.nonzero(cos >= floor[:, None])
             part = pd.DataFrame({"query_id": ids[r], "chunk_id": chunk[c], "cosine": cos[r, c].astype(np.float64) / 16129.0})
+            if k is None:
+                yield part
+                continue
             best = part if best is None else pd.concat((best, part))
             if best is not None and len(best) > 4 * k * len(ids):
                 best = best.sort_values(["cosine", "chunk_id"], ascending=[False, True]).groupby("query_id").head(k)

@@ -127,7 +127,7 @@ def vec_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vec_min_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return search.vector_hits(*_vectors(spark, d), k=200, min_cosine=0.5).select("query_id", "chunk_id", "cosine")
+    return search.vector_hits(*_vectors(spark, d), k=None, min_cosine=0.5).select("query_id", "chunk_id", "cosine")
 
 
 @query

@@ -75,7 +75,7 @@ ORACLE = {
         f as (select query_id, chunk_id, round(sum(x), 6) score from (select query_id, chunk_id, 1.0::double / (20 + rank) x from a union all select query_id, chunk_id, 0.5::double / (20 + rank) from b) group by all) {_rank('f', 8)}""",
     "vec_quantize": f"with {QUANT} select vec_id, q from v",
     "vec_topk_cosine": f"with {QUANT}, f as (select * from c where cosine >= 0) {_rank('f', 8, 'cosine')}",
-    "vec_min_cosine": f"with {QUANT}, f as (select * from c where cosine >= 0.5), r as ({_rank('f', 200, 'cosine')}) select query_id, chunk_id, cosine from r",
+    "vec_min_cosine": f"with {QUANT} select query_id, chunk_id, cosine from c where cosine >= 0.5",
     "vec_pair_cosine": f"with {QUANT} select a.vec_id, round(list_sum(list_transform(list_zip(a.q, b.q), lambda z: cast(z[1] as int) * cast(z[2] as int))) / 16129.0, 6) cosine from v a join v b on b.vec_id = a.vec_id + 1",
     "shingle_sets": r"select doc_id, case when len(w) < 3 then 0 else len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')))) end shingles from (select doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') w from documents where text is not null)",
     "neighbours_around": f"with {CURRENT} select a.chunk_id asked_id, b.chunk_id, b.doc_id, b.ord from cur a join cur b on a.doc_id = b.doc_id and b.ord between a.ord - 1 and a.ord + 1 where a.chunk_id % 100 = 0",
