@@ -4,18 +4,24 @@ Method: a size-aware heavy-light join. Elements are put in one global order, rar
 least k of the first |x| - ceil(t|x|) + k elements of each (their prefixes). The inverted list of an element holds the
 sets that have it in their prefix for k = 2; the element is light if that list is short.
 
-* Pairs that share a light element of these prefixes meet in its list.
+* Pairs that share a light element of these prefixes meet in its list. An element is light by a second sketch, of the
+  lengths of lists, so that no list is shuffled to be measured.
 * Other pairs share at least two heavy elements: sets up to a boundary size enumerate their fixed-size subsets (pairs
   of heavy prefix elements), and equal subsets meet.
 * Beyond the boundary subsets would be too many: these sets, and those large enough to be their partners, scan the
   inverted lists of their heavy elements.
 * A list of a subset or of a heavy element that is long is dealt to blocks, and each pair of blocks meets by itself.
 
-Lists are measured exactly, where they come together; the boundary is chosen by cost from the measured lists. Meetings
-are thinned by size, by position and by a bit signature, none of which loses a pair, and what remains is checked
-exactly. Sets that are equal are one class throughout, so copies cost one set per task. The order comes from counts
-over all records in a sketch of fixed size, on a scale of powers, so that it tells frequent from rare elements at any
-size of the collection; it steers the cost and never the result.
+Prefixes are written once. In a collection of few words most elements are heavy, and the subsets take many times the
+space of the texts; so keys are made from the prefixes in rounds, each for a share of the elements, and the files of a
+round go before the next begins. Their number follows from the counted keys, so the disk in use keeps in proportion to
+the prefixes at any size.
+
+The boundary is chosen by cost from the lengths of lists. Meetings are thinned by size, by position and by a bit
+signature, none of which loses a pair, and what remains is checked exactly. Sets that are equal are one class
+throughout, so copies cost one set per task. The order comes from counts over all records in a sketch of fixed size, on
+a scale of powers, so that it tells frequent from rare elements at any size of the collection; both sketches steer the
+cost and never the result.
 """
 
 from __future__ import annotations
@@ -30,15 +36,17 @@ from pyspark.sql import functions as F
 
 from codexmill.llm import _filter
 from codexmill.llm._words import distinct_per_row, grams, mix, slices, word_hashes
-from codexmill.session import written
+from codexmill.session import erase, scratch, tidy, written
 from codexmill.sources.tables import latest
 
 #: Buckets of the count sketch: 2^BUCKETS bytes are broadcast; it is put together in so many ranges.
 BUCKETS, RANGES = 24, 64
 #: A list of up to so many sets is light.
 LIGHT = 200
-#: Sets whose keys one task holds, about.
-SETS = 50_000
+#: Sets whose keys one task holds, about, if all of them are of elements; KEYS elements of a set are in its prefix, about.
+SETS, KEYS = 50_000, 30
+#: Bytes of keys that one round shuffles, about: so many times those of the prefixes, or ROUND where that is more.
+SHARE, ROUND = 1.5, 256_000_000
 #: Pairs that are worked out at once in a task.
 BLOCK = 2_000_000
 #: Entries of a long list in one block.
@@ -106,23 +114,25 @@ def _sets(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[int, np.ndarray,
         yield lo, g, row, size, fp
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Counts of elements by bucket, in ranges, and the number of sets, of one task."""
-    counts, sets, shift = np.zeros(1 << BUCKETS, np.int32), 0, np.uint64(64 - BUCKETS)
-    for batch in batches:
-        for _, g, _, size, _ in _sets(batch, plan):
-            at, n = np.unique((g >> shift).astype(np.int64), return_counts=True)
-            counts[at] += n.astype(np.int32)
-            sets += int((size > 0).sum())
+def _bucket(g: np.ndarray) -> np.ndarray:
+    return (g >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
+def _sketch(elements: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Counts of elements by bucket, in ranges, of one task."""
+    counts = np.zeros(1 << BUCKETS, np.int32)
+    for g in elements:
+        at, n = np.unique(_bucket(g), return_counts=True)
+        counts[at] += n.astype(np.int32)
     step = len(counts) // RANGES
     for r in range(RANGES):
         part = counts[r * step : (r + 1) * step]
         some = np.flatnonzero(part).astype(np.int32)
-        if not len(some) and (r or not sets):
+        if not len(some):
             continue
         # few counts as pairs of place and count, many as they lie
         blob = part.tobytes() if len(some) > step // 4 else np.concatenate((some, part[some])).tobytes()
-        yield pa.record_batch({"r": pa.array([r], pa.int32()), "counts": pa.array([blob], pa.binary()), "sets": pa.array([sets if r == 0 else 0], pa.int64())})
+        yield pa.record_batch({"r": pa.array([r], pa.int32()), "counts": pa.array([blob], pa.binary())})
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
@@ -130,11 +140,13 @@ def _scaled(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 64, counts, np.minimum(255, 64 + 8 * np.log2(np.maximum(counts, 64) / 64))).astype(np.uint8)
 
 
+def _unscaled(scaled: np.ndarray) -> np.ndarray:
+    return np.where(scaled <= 64, scaled, 64 * 2.0 ** ((scaled.astype(float) - 64) / 8))
+
+
 def _merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
-    sets = 0
     for batch in batches:
-        sets += sum(batch.column("sets").to_pylist())
         for r, c in zip(batch.column("r").to_pylist(), batch.column("counts"), strict=True):
             got, step = np.frombuffer(c.as_buffer(), np.int32), (1 << BUCKETS) // RANGES
             total = held.setdefault(r, np.zeros(step, np.int64))
@@ -144,19 +156,22 @@ def _merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 some, n = got.reshape(2, -1)
                 total[some] += n
     for r, part in held.items():
-        yield pa.record_batch({"r": pa.array([r], pa.int32()), "counts": pa.array([_scaled(part).tobytes()], pa.binary()), "sets": pa.array([sets], pa.int64())})
-        sets = 0
+        yield pa.record_batch({"r": pa.array([r], pa.int32()), "counts": pa.array([_scaled(part).tobytes()], pa.binary())})
+
+
+SKETCH = "r int, counts binary"
 
 
-def _count(prepared: DataFrame, plan: Plan) -> tuple[np.ndarray, int]:
-    """The scaled count sketch of the collection and the number of sets; the driver gets 2^BUCKETS bytes."""
-    schema = "r int, counts binary, sets long"
-    got = prepared.mapInArrow(lambda it: _sketch(it, plan), schema).repartition(16, "r").mapInArrow(_merge_sketches, schema)
-    total, sets, step = np.zeros(1 << BUCKETS, np.uint8), 0, (1 << BUCKETS) // RANGES
+def _count(sketches: DataFrame) -> np.ndarray:
+    """The scaled count sketch put together of those of tasks; the driver gets 2^BUCKETS bytes."""
+    spark = sketches.sparkSession
+    path = scratch(spark, "sketch")
+    got = written(sketches.repartition(16, "r").mapInArrow(_merge_sketches, SKETCH), "sketch", path)
+    total, step = np.zeros(1 << BUCKETS, np.uint8), (1 << BUCKETS) // RANGES
     for r in got.toLocalIterator():
         total[r["r"] * step : (r["r"] + 1) * step] = np.frombuffer(r["counts"], np.uint8)
-        sets += r["sets"]
-    return total, sets
+    erase(spark, path)
+    return total
 
 
 PACKED = "part int, sets binary, sizes binary, keys binary, refs binary, places binary"
@@ -180,9 +195,13 @@ def _pack(fp: np.ndarray, bits: np.ndarray, size: np.ndarray, key: np.ndarray, r
     return pa.record_batch({k: pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in rows.items()})
 
 
+#: A set: its class, signature and size; of the elements of its prefix that other sets may have, their first place and hashes.
+PREFIX = "a long, s long, t long, size int, skip int, elements binary"
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], plan: Plan, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The prefix elements under which similar sets can meet, packed by slice and part; each class of equal sets once a task."""
-    shift, seen = np.uint64(64 - BUCKETS), np.zeros(0, np.uint64)
+    """The prefix elements under which similar sets can meet, one row a set; each class of equal sets once a task."""
+    seen = np.zeros(0, np.uint64)
     for batch in batches:
         for _, g, row, size, fp in _sets(batch, plan):
             _, first = np.unique(fp, return_index=True)
@@ -194,7 +213,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], plan: Plan, counts: np.ndarra
             g, row = g[keep], row[keep]
             if not len(g):
                 continue
-            c = counts[(g >> shift).astype(np.int64)]
+            c = counts[_bucket(g)]
             at = np.lexsort((g, c, row))
             g, row, c = g[at], row[at], c[at]
             begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
@@ -205,10 +224,72 @@ def _signatures(batches: Iterator[pa.RecordBatch], plan: Plan, counts: np.ndarra
             par = np.zeros(len(begin) * 128, np.uint8)
             np.bitwise_xor.at(par, ref * 128 + (g & np.uint64(127)).astype(np.int64), np.uint8(1))
             bits = np.packbits(par.reshape(-1, 128), axis=1).view(np.uint64).reshape(-1, 2)
-            # an element with a count of one is in no other set
+            # an element with a count of one is in no other set; those come first, so the others follow each other
             used = np.flatnonzero((c > 1) & (pos < many[ref] - plan.need(many)[ref] + 2))
             if len(used):
-                yield _pack(fp[row[begin]], bits, many, g[used], ref[used], pos[used], plan.parts)
+                head = used[np.flatnonzero(np.concatenate(([True], ref[used[1:]] != ref[used[:-1]])))]
+                sets = ref[head]
+                ends = np.append(np.searchsorted(used, head), len(used)).astype(np.int32) * 8
+                elements = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(ends), pa.py_buffer(g[used].tobytes())])
+                a, s, t = (pa.array(x.view(np.int64)) for x in (fp[row[begin]][sets], np.ascontiguousarray(bits[sets, 0]), np.ascontiguousarray(bits[sets, 1])))
+                yield pa.record_batch({"a": a, "s": s, "t": t, "size": pa.array(many[sets].astype(np.int32)), "skip": pa.array(pos[head].astype(np.int32)), "elements": elements})
+
+
+@dataclass
+class Prefixes:
+    """Rows of PREFIX: by set, size; by element its set, place and hash."""
+
+    size: np.ndarray
+    ref: np.ndarray
+    pos: np.ndarray
+    g: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> Prefixes:
+        size, skip = (batch.column(c).to_numpy().astype(np.int64) for c in ("size", "skip"))
+        column = batch.column("elements")
+        ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+        g = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64)
+        n = np.diff(ends).astype(np.int64) // 8
+        ref = np.repeat(np.arange(len(n)), n)
+        return Prefixes(size, ref, np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n) + skip[ref], g)
+
+    def heavy(self, plan: Plan, lengths: np.ndarray) -> np.ndarray:
+        """Of elements: whether their list is longer than those of light ones; the same for all sets."""
+        return lengths[_bucket(self.g)] > _scaled(np.array([plan.light]))[0]
+
+    def first(self, plan: Plan) -> np.ndarray:
+        """Of elements: whether they are among those that similar sets share one of."""
+        return self.pos < (self.size - plan.need(self.size) + 1)[self.ref]
+
+
+COSTS = ("sets", "elements", "light", "subsets", "lists", "firsts")
+
+
+def _costs(batches: Iterator[pa.RecordBatch], plan: Plan, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What sets of a size (up to 4096) come to: elements, light ones, subsets of heavy ones, entries met in the lists of heavy ones, heavy ones to meet one of."""
+    total = np.zeros((4097, len(COSTS)))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        p = Prefixes.of(batch)
+        heavy, n = p.heavy(plan, lengths), len(p.size)
+        h = np.bincount(p.ref[heavy], minlength=n)
+        each = (np.ones(n), np.bincount(p.ref, minlength=n), np.bincount(p.ref[~heavy], minlength=n), h * (h - 1) / 2, np.bincount(p.ref[heavy], _unscaled(lengths[_bucket(p.g[heavy])]), n), np.bincount(p.ref[heavy & p.first(plan)], minlength=n))
+        for k, x in enumerate(each):
+            total[:, k] += np.bincount(np.minimum(p.size, 4096), x, 4097)
+    some = np.flatnonzero(total[:, 0])
+    yield pa.record_batch({"size": pa.array(some.astype(np.int32))} | {c: pa.array(total[some, k]) for k, c in enumerate(COSTS)})
+
+
+#: The highest bits of a key: of a subset of two (the highest isn't set), of a light element, of a heavy one.
+SUBSET, LIGHT_ONE, HEAVY_ONE = 0, 1 << 63, 3 << 62
+
+
+def _kinds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By key: how many common elements may come before the one met at; whether it is of a heavy element."""
+    top = key >> np.uint64(62)
+    return (top == 2).astype(np.int64), top == 3
 
 
 #: What comes of a meeting: a pair (a, b) of sets, or, where n > 0, set a in the long list of key b, which holds n sets.
@@ -228,16 +309,13 @@ class Sets:
     s: np.ndarray
     size: np.ndarray
 
-    def alike(self, plan: Plan, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, slack: int, subset: np.ndarray | None = None) -> np.ndarray:
-        """Which of the pairs x, y can be similar by size, by the places where they meet, and by signature.
-
-        slack: common elements that may come before the one they meet at. subset: entries of subsets, not of lists.
-        """
+    def alike(self, plan: Plan, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Which of the pairs x, y can be similar by size, by the places where they meet under key, and by signature."""
+        slack, alone = _kinds(key)
         sx, sy = self.size[x], self.size[y]
         need = plan.overlap(sx, sy)
         ok = (np.minimum(sx, sy) * plan.den >= np.maximum(sx, sy) * plan.num) & (np.minimum(sx - px, sy - py) + slack >= need)
-        if subset is not None:
-            ok &= subset | (np.maximum(sx, sy) > plan.boundary)
+        ok &= ~alone | (np.maximum(sx, sy) > plan.boundary)
         at = np.flatnonzero(ok)
         x, y = x[at], y[at]
         differ = np.bitwise_count(self.s[x, 1] ^ self.s[y, 1]).astype(np.int64) + np.bitwise_count(self.s[x, 2] ^ self.s[y, 2])
@@ -248,11 +326,8 @@ class Sets:
         return np.unique(np.column_stack((np.minimum(fa, fb), np.maximum(fa, fb))), axis=0)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], plan: Plan, second: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets that meet in lists of up to plan.light sets, and the entries of longer lists.
-
-    second: keys are subsets and heavy elements (the highest bit tells which), else elements.
-    """
+def _meet(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that meet in lists of up to plan.deal sets, and the entries of longer lists."""
     columns: dict[str, list] = {k: [] for k in ("sets", "sizes", "keys", "refs", "places")}
     kinds = {"sets": np.uint64, "sizes": np.uint32, "keys": np.uint64, "refs": np.uint32, "places": np.int32}
     base = 0
@@ -277,7 +352,7 @@ def _meet(batches: Iterator[pa.RecordBatch], plan: Plan, second: bool) -> Iterat
     begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(begins, len(key)))
     held = np.repeat(sizes, sizes)
-    long = held > plan.light
+    long = held > plan.deal
     if long.any():
         r = ref[long]
         yield from _met(sets.s[r, 0], key[long], held[long], sets.size[r], place[long], sets.s[r, 1], sets.s[r, 2])
@@ -289,7 +364,7 @@ def _meet(batches: Iterator[pa.RecordBatch], plan: Plan, second: bool) -> Iterat
         kk = k[lo:hi]
         y = np.repeat(np.arange(lo, hi), kk)
         x = y - np.repeat(kk, kk) + np.arange(len(y)) - np.repeat(np.cumsum(kk) - kk, kk)
-        ok = sets.alike(plan, ref[x], ref[y], place[x], place[y], 0 if second else 1, key[y] < np.uint64(1 << 63) if second else None)
+        ok = sets.alike(plan, ref[x], ref[y], place[x], place[y], key[y])
         if len(ok):
             out.append(sets.pairs(ref[x[ok]], ref[y[ok]]))
             count += len(out[-1])
@@ -300,34 +375,36 @@ def _meet(batches: Iterator[pa.RecordBatch], plan: Plan, second: bool) -> Iterat
             out, count = [], 0
 
 
-def _heavy(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Keys of sets by their heavy elements: subsets of two up to the boundary, the elements themselves beyond."""
+def _keys(batches: Iterator[pa.RecordBatch], plan: Plan, lengths: np.ndarray, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """Keys of a round: light elements, subsets of two heavy ones of sets up to the boundary, the heavy ones alone beyond."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        fp, s, t = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "s", "t"))
-        size = batch.column("size").to_numpy().astype(np.int64)
-        lists = batch.column("heavy")
-        flat = lists.flatten()
-        pos, g = flat.field("place").to_numpy().astype(np.int64), flat.field("b").to_numpy().view(np.uint64)
-        h = lists.value_lengths().to_numpy().astype(np.int64)
-        ref = np.repeat(np.arange(len(h)), h)
-        at = np.lexsort((pos, ref))
-        pos, g = pos[at], g[at]
-        small = np.flatnonzero((size <= plan.boundary)[ref])
-        head = np.repeat(np.cumsum(h) - h, h)
-        for lo in range(0, len(small), 20_000):  # an entry makes a subset with each before it
-            e = small[lo : lo + 20_000]
-            k = e - head[e]
-            y = np.repeat(e, k)
-            x = np.repeat(head[e], k) + np.arange(len(y)) - np.repeat(np.cumsum(k) - k, k)
-            if len(y):
+        p = Prefixes.of(batch)
+        bits, fp = np.column_stack([batch.column(c).to_numpy().view(np.uint64) for c in ("s", "t")]), batch.column("a").to_numpy().view(np.uint64)
+        heavy, size, hashed = p.heavy(plan, lengths), p.size, mix(p.g)
+        now = hashed % np.uint64(rounds) == turn if rounds > 1 else np.ones(len(p.g), bool)  # a subset goes with its first element
+        alone = heavy & (size * plan.den >= plan.num * plan.boundary)[p.ref] & p.first(plan)
+        at = np.flatnonzero(now & (~heavy | alone))
+        if len(at):
+            kind = np.where(heavy[at], np.uint64(HEAVY_ONE), np.uint64(LIGHT_ONE))
+            yield _pack(fp, bits, size, hashed[at] >> np.uint64(2) | kind, p.ref[at], p.pos[at], plan.parts)
+        small = np.flatnonzero(heavy & (size <= plan.boundary)[p.ref])
+        if not len(small):
+            continue
+        ref, pos, g = p.ref[small], p.pos[small], p.g[small]
+        k = np.where(now[small], np.searchsorted(ref, ref, "right") - np.arange(len(ref)) - 1, 0)  # an entry makes a subset with each behind it
+        done, lo = np.cumsum(k), 0
+        while lo < len(k):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + BLOCK // 2, "right")))
+            kk = k[lo:hi]
+            x = np.repeat(np.arange(lo, hi), kk)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(kk) - kk, kk)
+            lo = hi
+            if len(x):
                 with np.errstate(over="ignore"):
-                    key = mix(g[x] * np.uint64(0x9E3779B97F4A7C15) + g[y]) & np.uint64(0x7FFF_FFFF_FFFF_FFFF)
-                yield _pack(fp, np.column_stack((s, t)), size, key, ref[y], pos[y] - 1, plan.parts)
-        big = np.flatnonzero((size * plan.den >= plan.num * plan.boundary)[ref] & (pos < (size - plan.need(size) + 1)[ref]))
-        if len(big):
-            yield _pack(fp, np.column_stack((s, t)), size, mix(g[big]) | np.uint64(0x8000_0000_0000_0000), ref[big], pos[big], plan.parts)
+                    key = mix(g[x] * np.uint64(0x9E3779B97F4A7C15) + g[y]) >> np.uint64(1)
+                yield _pack(fp, bits, size, key, ref[y], pos[y] - 1, plan.parts)
 
 
 def choose(by_size: np.ndarray, t: float) -> int:
@@ -354,8 +431,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
             y = np.tile(right, len(left[lo : lo + 500]))
             if i == j:
                 x, y = x[x < y], y[x < y]
-            subset = np.full(len(x), t["b"][0].as_py() >= 0)
-            ok = sets.alike(plan, x, y, place[x], place[y], 0, subset)
+            ok = sets.alike(plan, x, y, place[x], place[y], np.full(len(x), t["b"][0].as_py(), np.int64).view(np.uint64))
             if len(ok):
                 out.append(sets.pairs(x[ok], y[ok]))
         if out:
@@ -417,27 +493,59 @@ def _verify(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(sim)}).filter(pa.array(ok))
 
 
+def _rounds(entries: float, sets: float, elements: float, least: int) -> tuple[int, int]:
+    """(rounds, parts of each) for so many keys: 16 bytes for each, 28 for a set in every part that it is in."""
+    most = max(ROUND, SHARE * (8 * elements + 40 * sets))
+    parts = lambda n: int(max(least, entries / n // (SETS * KEYS)))
+    size = lambda n: 16 * entries / n + 28 * min(entries / n, sets * parts(n))
+    rounds = 1
+    while size(rounds) > most:
+        rounds = max(rounds + 1, int(rounds * min(2.0, size(rounds) / most)))
+    return rounds, parts(rounds)
+
+
+def _dealt(long: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs that meet in long lists, by pairs of blocks."""
+    blocks = F.ceil(F.col("n") / plan.deal).cast("int")
+    dealt = long.withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return dealt.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(lambda it: _blocks(it, plan), MET)
+
+
 def _candidates(prepared: DataFrame, plan: Plan) -> DataFrame:
     """(a, b): classes of sets that may be similar, written."""
-    counts, n = _count(prepared, plan)
-    plan = replace(plan, parts=max(prepared.sparkSession.sparkContext.defaultParallelism, n // SETS))
-    table = prepared.sparkSession.sparkContext.broadcast(counts)  # 2^BUCKETS bytes
-    keys = prepared.select("text").mapInArrow(lambda it: _signatures(it, plan, table.value), PACKED)
-    first = written(keys.repartition(plan.parts, "part").mapInArrow(lambda it: _meet(it, plan, False), MET), "met")
-    found, heavy = first.where("n = 0"), first.where("n > 0")
-    by_set = heavy.groupBy("a", "size").agg(F.count("*").alias("h"), F.sum("n").alias("lists"))
-    by_size = by_set.groupBy(F.least("size", F.lit(4096)).alias("size")).agg((F.sum(F.col("h") * (F.col("h") - 1)) / 2).alias("subsets"), F.sum("lists").alias("lists")).collect()  # one row a size
-    if by_size:
-        plan = replace(plan, boundary=choose(np.array(by_size, float), plan.num / plan.den))
-        grouped = heavy.groupBy("a", "size", "s", "t").agg(F.collect_list(F.struct("place", "b")).alias("heavy"))  # elements of one prefix
-        keys = grouped.mapInArrow(lambda it: _heavy(it, plan), PACKED)
-        second = written(keys.repartition(plan.parts, "part").mapInArrow(lambda it: _meet(it, plan, True), MET), "met")
-        found, long = found.unionAll(second.where("n = 0")), second.where("n > 0")
-        blocks = F.ceil(F.col("n") / plan.deal).cast("int")
-        dealt = long.withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        found = found.unionAll(dealt.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(lambda it: _blocks(it, plan), MET))
-    return written(found.select("a", "b").distinct(), "candidates")
+    spark = prepared.sparkSession
+    with tidy(spark):
+        table = spark.sparkContext.broadcast(_count(prepared.mapInArrow(lambda it: _sketch(g for batch in it for _, g, _, _, _ in _sets(batch, plan)), SKETCH)))  # 2^BUCKETS bytes
+        kept = scratch(spark, "prefixes")
+        prefixes = written(prepared.select("text").mapInArrow(lambda it: _signatures(it, plan, table.value), PREFIX), "prefixes", kept)
+        table.destroy()  # its copies are files as well
+        lengths = spark.sparkContext.broadcast(_count(prefixes.select("size", "skip", "elements").mapInArrow(lambda it: _sketch(Prefixes.of(b).g for b in it if b.num_rows), SKETCH)))
+        costs = prefixes.select("size", "skip", "elements").mapInArrow(lambda it: _costs(it, plan, lengths.value), "size int, " + ", ".join(f"{c} double" for c in COSTS))
+        by = np.array(costs.groupBy("size").agg(*(F.sum(c) for c in COSTS)).collect(), float).reshape(-1, 1 + len(COSTS))  # one row a size
+        size, sets, elements, light, subsets, lists, firsts = by.T
+        heavy = lists > 0
+        if heavy.any():
+            plan = replace(plan, boundary=choose(np.column_stack((size, subsets, lists))[heavy], plan.num / plan.den))
+        entries = light.sum() + subsets[size <= plan.boundary].sum() + firsts[size * plan.den >= plan.num * plan.boundary].sum()
+        rounds, parts = _rounds(entries, sets.sum(), elements.sum(), spark.sparkContext.defaultParallelism)
+        plan = replace(plan, parts=parts)
+        paths = []
+        for turn in range(rounds):
+            keys = prefixes.mapInArrow(lambda it, turn=turn, plan=plan: _keys(it, plan, lengths.value, turn, rounds), PACKED)
+            path = scratch(spark, "met")
+            met = written(keys.repartition(parts, "part").mapInArrow(lambda it, plan=plan: _meet(it, plan), MET), "met", path)
+            found = met.where("n = 0").unionAll(_dealt(met.where("n > 0"), plan))
+            paths.append(scratch(spark, "candidates"))
+            candidates = written(found.select("a", "b").distinct(), "candidates", paths[-1])
+            erase(spark, path)
+        lengths.destroy()
+        erase(spark, kept)
+        if rounds > 1:  # a pair is met in several
+            candidates = written(spark.read.schema(candidates.schema).parquet(*paths).distinct(), "candidates")
+            for path in paths:
+                erase(spark, path)
+        return candidates
 
 
 def _classes(prepared: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from pathlib import Path
 import unicodedata
 from collections import Counter
 from dataclasses import replace
@@ -519,6 +520,31 @@ def test_a_heavy_element_makes_no_pairs_of_all(spark, words):
     assert found.count() == 20 and time.time() - began < 60
 
 
+def test_keys_of_few_words_are_met_in_rounds(spark, monkeypatch):
+    """Subsets take many times the space of the texts; their files go with each round."""
+    monkeypatch.setattr(near_duplicates, "ROUND", 2_000_000, raising=False)
+    monkeypatch.setattr(near_duplicates, "choose", lambda *a: 10_000)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefgh", k=60)) for _ in range(1500)]
+    texts += [t[:-1] + "z" for t in texts[::100]]
+    jvm, seen = spark.sparkContext._jvm, []
+    spark.sparkContext._jvm.System.gc()
+    local = list(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    used = lambda: sum(p.stat().st_size for d in local for p in Path(d).rglob("shuffle_*") if p.exists())
+    written, before = near_duplicates.written, used()
+
+    def watched(*args):
+        out = written(*args)
+        seen.append(used() - before)
+        return out
+
+    monkeypatch.setattr(near_duplicates, "written", watched)
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "id long, at timestamp, text string")
+    found = near_duplicates._candidates(df, near_duplicates.Plan(near_duplicates.word_sets, 3, 5, 25, light=5)).collect()
+    assert len(found) >= 15 and len(set(found)) == len(found)
+    assert len(seen) > 6 and max(seen) < 4_000_000
+
+
 @pytest.mark.parametrize("boundary", [0, 10_000])
 def test_long_lists_meet_in_blocks(spark, words, boundary, monkeypatch):
     """Sets made of a few heavy elements only: every list is long, of elements and of subsets."""
