@@ -292,7 +292,7 @@ def _kinds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (top == 2).astype(np.int64), top == 3
 
 
-#: What comes of a meeting: a pair (a, b) of sets, or, where n > 0, set a in the long list of key b, which holds n sets.
+#: What comes of a meeting: a pair (a, b) of sets and the sum of their sizes, or, where n > 0, set a in the long list of key b, which holds n sets.
 MET = "a long, b long, n long, size int, place int, s long, t long"
 
 
@@ -323,7 +323,7 @@ class Sets:
 
     def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         fa, fb = self.s[x, 0], self.s[y, 0]
-        return np.unique(np.column_stack((np.minimum(fa, fb), np.maximum(fa, fb))), axis=0)
+        return np.unique(np.column_stack((np.minimum(fa, fb), np.maximum(fa, fb), (self.size[x] + self.size[y]).astype(np.uint64))), axis=0)
 
 
 def _meet(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
@@ -371,7 +371,7 @@ def _meet(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBa
         lo = hi
         if count > BLOCK or (lo >= len(key) and out):
             p = np.unique(np.concatenate(out), axis=0)
-            yield from _met(np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1]))
+            yield from _met(np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1]), size=p[:, 2])
             out, count = [], 0
 
 
@@ -436,7 +436,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
                 out.append(sets.pairs(x[ok], y[ok]))
         if out:
             p = np.unique(np.concatenate(out), axis=0)
-            yield from _met(np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1]))
+            yield from _met(np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1]), size=p[:, 2])
 
     held: list[pa.RecordBatch] = []
     now = None
@@ -513,7 +513,7 @@ def _dealt(long: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _candidates(prepared: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b): classes of sets that may be similar, written."""
+    """(a, b, size): classes of sets that may be similar and the sum of their sizes, written."""
     spark = prepared.sparkSession
     with tidy(spark):
         table = spark.sparkContext.broadcast(_count(prepared.mapInArrow(lambda it: _sketch(g for batch in it for _, g, _, _, _ in _sets(batch, plan)), SKETCH)))  # 2^BUCKETS bytes
@@ -537,7 +537,7 @@ def _candidates(prepared: DataFrame, plan: Plan) -> DataFrame:
             met = written(keys.repartition(parts, "part").mapInArrow(lambda it, plan=plan: _meet(it, plan), MET), "met", path)
             found = met.where("n = 0").unionAll(_dealt(met.where("n > 0"), plan))
             paths.append(scratch(spark, "candidates"))
-            candidates = written(found.select("a", "b").distinct(), "candidates", paths[-1])
+            candidates = written(found.select("a", "b", "size").distinct(), "candidates", paths[-1])
             erase(spark, path)
         lengths.destroy()
         erase(spark, kept)
@@ -548,14 +548,37 @@ def _candidates(prepared: DataFrame, plan: Plan) -> DataFrame:
         return candidates
 
 
+SIMILAR = "a long, b long, similarity double"
+
+
+def _similar(found: DataFrame, sets: DataFrame, plan: Plan, records: int) -> DataFrame:
+    """(a, b, similarity) of the candidates that reach the limit, in rounds where their elements are many times the prefixes."""
+
+    def verified(found: DataFrame, x: DataFrame) -> DataFrame:
+        both = found.join(x.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
+        return both.mapInArrow(lambda it: _verify(it, plan), SIMILAR)
+
+    moved = 4 * (found.agg(F.sum("size")).first()[0] or 0)  # the elements of one set of each pair
+    rounds = -(-moved // max(int(ROUND), int(SHARE * 8 * KEYS * records)))
+    if rounds <= 1:
+        return verified(found, sets)
+    spark, paths = found.sparkSession, []
+    with tidy(spark):
+        sets = written(sets, "sets")
+        for q in range(rounds):
+            of = lambda c: F.pmod(F.xxhash64(c), F.lit(rounds)) == q  # noqa: B023, E731
+            paths.append(scratch(spark, "similar"))
+            written(verified(found.where(of("a")), sets.where(of("class"))), "similar", paths[-1])
+        return spark.read.schema(SIMILAR).parquet(*paths)
+
+
 def _classes(prepared: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """(members: id, class), (similar: class a, class b, similarity) of prepared: id, at, text."""
     found = _candidates(prepared, plan)
     wanted = prepared.sparkSession.sparkContext.broadcast(_filter.make(found, _class_hashes))
     rows = written(prepared.mapInArrow(lambda it: _members(it, plan, wanted.value), "id long, at timestamp, class long, elements binary"), "members")
     sets = rows.where("elements is not null").select("class", "elements").dropDuplicates(["class"])
-    both = found.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
-    similar = both.mapInArrow(lambda it: _verify(it, plan), "a long, b long, similarity double")
+    similar = _similar(found, sets, plan, rows.count())
     last = F.max(F.struct(F.col("at").isNotNull().alias("h"), "at", "class"))
     members = rows.groupBy("id").agg(last.alias("m")).select("id", F.col("m.class").alias("class")).where("class <> 0")
     return members, similar

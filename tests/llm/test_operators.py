@@ -545,6 +545,19 @@ def test_keys_of_few_words_are_met_in_rounds(spark, monkeypatch):
     assert len(seen) > 6 and max(seen) < 4_000_000
 
 
+def test_candidates_are_verified_in_rounds(spark, words, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "ROUND", 10_000, raising=False)
+    monkeypatch.setattr(near_duplicates, "SHARE", 0.01, raising=False)
+    rng, rows, made, written = random.Random(4), [], [], near_duplicates.written
+    for i in range(0, 200, 2):
+        t = [rng.choice(words[:200]) for _ in range(60)]
+        rows += [chunk(i, " ".join(t)), chunk(i + 1, " ".join([*t[:-2], "x"]))]
+    monkeypatch.setattr(near_duplicates, "written", lambda df, what, *path: made.append(what) or written(df, what, *path))
+    got = [tuple(r) for r in near_duplicates.near_duplicate_chunks(spark.createDataFrame(rows, CHUNKS)).collect()]
+    want = jaccard_pairs({r[0]: s for r in rows if len(s := sets_of(r[8])) >= 25}, 3, 5)
+    assert len(got) == len(want) and set(got) == want and made.count("similar") > 2
+
+
 @pytest.mark.parametrize("boundary", [0, 10_000])
 def test_long_lists_meet_in_blocks(spark, words, boundary, monkeypatch):
     """Sets made of a few heavy elements only: every list is long, of elements and of subsets."""
