@@ -8,6 +8,7 @@ query never drags the longest lists along unless it has nothing else.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
 from codexmill.functions.stem import stem, stem_udf
+from codexmill.operators import scan
+from codexmill.operators.scan import K1, MATCH_BONUS, B
 from codexmill.session import written
 
-K1, B, MATCH_BONUS = 1.2, 0.75, 0.15
 RRF_K, CANDIDATES, HEAD = 20, 200, 12
 #: Queries that are sent to every task at once; more of them are scanned in several passes.
 QUERY_BLOCK = 10_000
@@ -78,8 +80,11 @@ def corpus_stats(length: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame, stats: DataFrame, corpus: DataFrame, stems: bool = False) -> DataFrame:
     """(query_id, term, df): distinct terms; where some term is in at most a third of the chunks, more frequent ones go."""
-    q = analysed(queries.select(F.col("query_id"), "text"), "query_id", stems=stems).distinct()
-    known = q.join(stats.select("term", "df"), "term").crossJoin(F.broadcast(corpus.select(F.floor(F.col("n") / 3).alias("third"))))
+    return _rarer(analysed(queries.select(F.col("query_id"), "text"), "query_id", stems=stems).distinct(), stats, corpus)
+
+
+def _rarer(asked: DataFrame, stats: DataFrame, corpus: DataFrame) -> DataFrame:
+    known = asked.join(stats.select("term", "df"), "term").crossJoin(F.broadcast(corpus.select(F.floor(F.col("n") / 3).alias("third"))))
     rare = F.max((F.col("df") <= F.col("third")).cast("int")).over(Window.partitionBy("query_id"))
     return known.withColumn("rare", rare).where("rare = 0 or df <= third").select("query_id", "term", "df")
 
@@ -168,6 +173,47 @@ def _score(batches: Iterator[pa.RecordBatch], names: np.ndarray, of: np.ndarray,
             yield pa.record_batch({"query_id": pa.array(names[q + r]), "chunk_id": pa.array(here[j]), "score": pa.array(score[r, j]), "matched": pa.array(matched[r, j].astype(np.int64))})
 
 
+def _blocks(terms: DataFrame, n: int, queries: int) -> Iterator[scan.Asked]:
+    """(query_id, term, df) as blocks of at most about QUERY_BLOCK queries, in the form in which they are sent to tasks."""
+    blocks = max(1, -(-queries // QUERY_BLOCK))
+    if blocks > 1:
+        terms = written(terms, "terms")  # read once a block
+    for block in range(blocks):
+        asked = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").toArrow()
+        words = asked["term"].combine_chunks().dictionary_encode()
+        code = words.indices.to_numpy()
+        names, of = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+        df = np.zeros(len(words.dictionary))
+        df[code] = asked["df"].to_numpy()
+        order = np.argsort(code, kind="stable")
+        begins = np.searchsorted(code[order], np.arange(len(df) + 1))
+        yield scan.Asked(names, of[order].astype(np.int32), np.log(1 + (n - df + 0.5) / (df + 0.5)), begins, words.dictionary.to_pylist())
+
+
+def bm25_texts(queries: DataFrame, chunks: DataFrame, k: int, stems: bool = True) -> DataFrame:
+    """As bm25_top(), for chunks of one row each: tasks read texts, once for frequencies and once a block of
+    queries, so that no occurrence of a word is shuffled. chunks: read several times, so best a written table.
+    """
+    spark = queries.sparkSession
+    texts = chunks.where("chunk_id is not null").select("chunk_id", "text")
+    stats = written(texts.mapInArrow(lambda it: scan.frequencies(it, stems), "term string, df long, tf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")), "stats")
+    total = stats.where("term is null").select("df", "tf").first()
+    n, mean = (total["df"], max(1.0, total["tf"] / max(1, total["df"]))) if total else (0, 1.0)
+    asked = queries.where("query_id is not null").select("query_id", "text").mapInArrow(lambda it: scan.occurrences(it, stems), "query_id long, term string").distinct()
+    terms = _rarer(asked, stats.where("term is not null"), spark.range(1).select(F.lit(n).alias("n")))
+    found = None
+    for block in _blocks(terms, n, queries.count()):
+        sent = spark.sparkContext.broadcast(block)
+        got = shares(texts).mapInArrow(lambda it, sent=sent: sent.value.best(it, k, mean, stems), scan.HITS)
+        found = got if found is None else found.unionAll(got)
+    return top(found.withColumn("score", F.round("score", 6)), k)
+
+
+def shares(df: DataFrame) -> DataFrame:
+    """df in one share a core: every task gives out its best of each query, so fewer tasks shuffle less."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def top(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best of each query with their rank from 1; ties go to the smaller chunk_id."""
     w = Window.partitionBy("query_id").orderBy(F.col(score).desc(), F.col("chunk_id"))
@@ -203,51 +249,22 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int | None = CANDIDAT
     others come out, and no rank.
     """
     v = vectors if only is None else vectors.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    v = v.where("chunk_id is not null and q is not null").select("chunk_id", "q")
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if blocks > 1:
+        v = written(v, "vectors")  # read once a block
     found = None
     for block in range(blocks):
-        part = queries.where("q is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r["query_id"], r["q"]) for r in part.select("query_id", "q").collect()])
-        got = v.select("chunk_id", "q").mapInPandas(_scanner(sent, k, min_cosine), "query_id long, chunk_id long, cosine double")
+        part = queries.where("q is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "q").toArrow()
+        q = np.array(part["q"].to_pylist(), np.float32).reshape(part.num_rows, -1)
+        sent = spark.sparkContext.broadcast((part["query_id"].to_numpy(), q))
+        got = shares(v).mapInArrow(lambda it, sent=sent: scan.cosines(it, *sent.value, k, min_cosine), "query_id long, chunk_id long, cosine double")
         found = got if found is None else found.unionAll(got)
     found = found.withColumn("cosine", F.round("cosine", 6))
     return found if k is None else top(found, k, "cosine")
 
 
-def _scanner(sent, k: int | None, min_cosine: float):
-    """A task's scan of its vectors for a block of queries."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = np.array([i for i, _ in sent.value])
-        q = np.array([x for _, x in sent.value], np.float32)
-        best = None
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            ok = b["q"].map(lambda x: x is not None and len(x) == q.shape[1])
-            b = b[ok.to_numpy(bool)]
-            if not len(b):
-                continue
-            chunk = b["chunk_id"].to_numpy()
-            cos = q @ np.stack(b["q"].to_numpy()).astype(np.float32).T 
-            floor = np.full(len(ids), min_cosine * 16129.0)
-            if k and cos.shape[1] > k:  # what can be among the k best of this batch, ties included
-                floor = np.maximum(floor, np.partition(cos, -k, axis=1)[:, -k])
-            r, c = np.nonzero(cos >= floor[:, None])
-            part = pd.DataFrame({"query_id": ids[r], "chunk_id": chunk[c], "cosine": cos[r, c].astype(np.float64) / 16129.0})
-            if k is None:
-                yield part
-                continue
-            best = part if best is None else pd.concat((best, part))
-            if best is not None and len(best) > 4 * k * len(ids):
-                best = best.sort_values(["cosine", "chunk_id"], ascending=[False, True]).groupby("query_id").head(k)
-        if best is not None and len(best):
-            yield best.sort_values(["cosine", "chunk_id"], ascending=[False, True]).groupby("query_id").head(k)
-
-    return scan
-
-
 def fuse(lists: list[tuple[DataFrame, float]]) -> DataFrame:
     """(query_id, chunk_id, score): reciprocal ranks of several ranked lists, weighted and summed."""
     parts = [df.select("query_id", "chunk_id", (F.lit(float(w)) / (RRF_K + F.col("rank"))).alias("s")) for df, w in lists]
@@ -285,8 +302,18 @@ def snippet(text: str, query: str, most: int = SNIPPET) -> str:
         return text[:most].strip() + "…"
     windows = [max(0, a - most // 6) for a in anchors]
     hits = [x for x in spans if x[2]]
-    found = [len(set().union(*(hit for a, b, hit in hits if a >= s and b <= s + most))) for s in windows]
-    start = windows[found.index(max(found))]
+    best, lo, hi, inside = 0, 0, 0, Counter()
+    for s in windows:  # both ends only move on
+        while hi < len(hits) and hits[hi][1] <= s + most:
+            inside.update(hits[hi][2])
+            hi += 1
+        while lo < hi and hits[lo][0] < s:
+            inside.subtract(hits[lo][2])
+            lo += 1
+        n = sum(c > 0 for c in inside.values())
+        if n > best:
+            best, start = n, s
+    start = windows[0] if not best else start
     while start > 0 and text[start - 1].isalnum():
         start -= 1
     end = min(len(text), start + most)
@@ -342,8 +369,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = No
     """
     live = chunks if deleted is None else chunks.join(deleted.select("doc_id").distinct(), "doc_id", "left_anti")
     live = written(live, "live")  # both legs and the refinement read it
-    posting = written(postings(live, stems), "postings")  # read for frequencies, lengths and lists
-    lexical = bm25_top(queries, posting, lengths(posting, live), CANDIDATES, stems=stems)
+    queries = written(queries, "queries")
+    lexical = bm25_texts(queries, live, CANDIDATES, stems)
     if vectors is None or "q" not in queries.columns:
         return refine(lexical, live, queries, options)
     near = vector_hits(queries.select("query_id", "q"), vectors, CANDIDATES, options.min_cosine, live)

@@ -128,3 +128,36 @@ def test_history(spark):
     assert sorted(r.seq for r in history.compact(m, "conv", "seq", 4).collect()) == [2, 3, 4, 5, 6]
     assert history.compact(m, "conv", "seq", 0).count() == 0
     assert [tuple(r) for r in history.answers(m, "conv", "seq").collect()] == [(1, 1, 2, "c2\n\nc5")]
+
+
+def test_scan_gives_terms_and_scores_of_the_index(spark):
+    from codexmill.operators import scan
+
+    texts = ["net/http C++ fooBar x2 Ёлка ёлки", "state-of-the-art ab-ab c# ²x Ⅷ a_b_ running ran ИДУТ", None, "", "y " * 50 + "naïve é ½ tail", "q" * 41 + " qq-" + "w" * 45]
+    c = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    for stems in (False, True):
+        want = sorted((r.chunk_id, r.term) for r in search.analysed(c, "chunk_id", stems=stems).collect())
+        assert sorted((i, t) for i, x in enumerate(texts) for t in scan.terms(x, stems)) == want
+    words = [f"w{chr(97 + i)}{'xyz'[i % 3]}" for i in range(26)]
+    rows = [(i, " ".join(words[j] for j in range(26) for _ in range((i * (j + 3) + i // 7) % 11 // (1 + j // 4)))) for i in range(300)] + [(i, words[0] + " rest") for i in range(300, 340)]
+    c = spark.createDataFrame(rows, "chunk_id long, text string")
+    q = c.where("chunk_id % 10 = 0").selectExpr("chunk_id query_id", "text")
+    p = search.postings(c, True)
+    want = search.top(search.bm25(q, p, search.lengths(p, c), stems=True), 5).collect()
+    got = search.bm25_texts(q, c, 5).collect()
+    key = lambda rows: sorted((r.query_id, r["rank"], r.chunk_id, r.matched, pytest.approx(r.score, abs=2e-6)) for r in rows)
+    assert len(want) > 100 and [x[:4] for x in key(got)] == [x[:4] for x in key(want)] and [x[4].expected for x in key(got)] == [x[4] for x in key(want)]
+
+
+def test_tasks_give_out_the_best_only():
+    import numpy as np
+    import pyarrow as pa
+
+    from codexmill.operators import scan
+
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"t{x}" for x in rng.integers(0, 60, 12)) for _ in range(12_000)]
+    names, of, begins = np.arange(3), np.repeat([[0, 1, 2]], 60, axis=0).ravel(), np.arange(0, 181, 3)
+    asked = scan.Asked(names, of, np.linspace(1, 3, 60), begins, [f"t{i}" for i in range(60)])
+    batches = [pa.record_batch({"chunk_id": pa.array(range(a, a + 3000)), "text": pa.array(texts[a : a + 3000])}) for a in range(0, 12_000, 3000)]
+    assert sum(b.num_rows for b in asked.best(iter(batches), 10, 12.0)) < 3 * 30  # not the best of every batch, let alone all
