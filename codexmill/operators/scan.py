@@ -20,12 +20,10 @@ from codexmill.functions import text as T
 from codexmill.functions.stem import stem
 
 K1, B, MATCH_BONUS = 1.2, 0.75, 0.15
-#: A term has a row of its own, with a place for every query, from this share of queries on.
-FREQUENT = 0.01
-#: How often the weight of a repeated term is added to a bound, which grows by a factor where that isn't enough.
-REPEATS = 4
+#: A term is a row of that product from this share of queries on; chunks of a product. Neither changes a result.
+FREQUENT, HELD = 0.03, 128
 #: What single precision may lose.
-LOOSE = 1 - 1e-5
+LOOSE = 1 - 1e-4
 #: Terms of a query whose sums of least weights are held.
 DEPTH = 64
 #: Words that a worker remembers with their terms.
@@ -166,13 +164,14 @@ class Asked:
                         counts[c] = counts.get(c, 0) + 1
                 if counts:
                     scores.add(i, counts, K1 * (1 - B + B * len(got) / mean))
+        scores.flush()
         yield from scores.found.rows(self.names)
 
 
 class _Scores:
     """Scores of one chunk after another for a block of queries.
 
-    Weights, rounded up to small whole numbers, are added up first. A sum I of weights can come from m terms only if it
+    Weights are added up first, by a product of matrices in single precision. A sum I of weights can come from m terms only if it
     is at least that of the m least weights of the query, so that a score, I times 1 + MATCH_BONUS (m - 1), needs a least
     I. Where that is reached, which is rarely so, the score is worked out exactly.
     """
@@ -188,14 +187,12 @@ class _Scores:
         self.row = row.tolist()
         weight = np.repeat(asked.idf, np.diff(begins))
         count = np.bincount(of, minlength=n)
-        room = 65_535 / REPEATS - count.max(initial=0)
-        scale = min(64.0, room / max(np.bincount(of, weight, n).max(initial=0), 1e-9))
-        self.scale, kind = (scale, np.uint16) if scale >= 4 else (64.0, np.uint32)
-        self.up = np.ceil(asked.idf * self.scale).astype(kind)
-        self.weights = np.zeros((len(wide), n), kind)
+        self.asks = np.zeros((n, len(wide)), np.uint8)
         for j, t in enumerate(wide):
-            self.weights[j, self.lists[t]] = self.up[t]
-        self.sums, self.rare, self.more = np.zeros(n, kind), np.zeros(n), np.zeros(n, np.int32)
+            self.asks[self.lists[t], j] = 1
+        self.asking = np.ascontiguousarray(self.asks.T, np.float32)
+        self.held: list[tuple[int, dict[int, int], float]] = []
+        self.rare, self.more = np.zeros(n), np.zeros(n, np.int32)
         order = np.lexsort((weight, of))
         by, weight = of[order], weight[order]
         at = np.arange(len(by)) - np.searchsorted(by, np.arange(n))[by]
@@ -206,7 +203,7 @@ class _Scores:
         self.long = np.flatnonzero(count > DEPTH)
         self.bonus = (1 + MATCH_BONUS * np.arange(DEPTH)).astype(np.float32)
         self.levels: dict[int, np.ndarray] = {}
-        self.turn = self.tries = 0
+        self.turn = 0
 
     def needed(self, level: int) -> np.ndarray:
         """By query, the least sum with which a chunk counts whose terms weigh 2 ** (level / 16) of their idf, or up to the next level."""
@@ -214,24 +211,32 @@ class _Scores:
         least = (np.maximum(self.found.least, 0) / one).astype(np.float32)
         need = np.maximum(self.lightest, (least * np.float32(2 ** (-1 / 16)))[:, None] / self.bonus).min(axis=1)
         need[self.long] = np.minimum(need[self.long], self.lightest[self.long, -1])
-        return np.clip(need * LOOSE * self.scale, 1, np.iinfo(self.sums.dtype).max).astype(self.sums.dtype)
+        return np.maximum(need * np.float32(LOOSE), np.float32(1e-6))
 
     def add(self, chunk: int, counts: dict[int, int], norm: float) -> None:
-        """A chunk with its asked terms; one that occurs once weighs (K1 + 1) / (1 + norm) times its idf, others up to 1 + norm times that."""
-        sums, plus, row, lists = self.sums, np.add, self.row, self.lists
-        sums.fill(0)
-        often = 1.0
+        """A chunk with its asked terms; one that occurs once weighs (K1 + 1) / (1 + norm) times its idf, others more."""
+        self.held.append((chunk, counts, norm))
+        if len(self.held) == HELD:
+            self.flush()
+
+    def flush(self) -> None:
+        weights = np.zeros((len(self.held), len(self.asking)), np.float32)
+        for i, (_, counts, norm) in enumerate(self.held):
+            at = [(self.row[c], self.idf[c] * tf * (1 + norm) / (tf + norm)) for c, tf in counts.items() if self.row[c] >= 0]
+            if at:
+                j, w = zip(*at, strict=True)
+                weights[i, list(j)] = w
+        sums = weights @ self.asking
+        for i, one in enumerate(self.held):
+            self.settle(*one, sums[i])
+        self.held = []
+
+    def settle(self, chunk: int, counts: dict[int, int], norm: float, sums: np.ndarray) -> None:
+        """sums: by query, those of the terms with a row, as multiples of the weight of a term that occurs once."""
+        row, lists = self.row, self.lists
         for c, tf in counts.items():
-            j, times = row[c], 1
-            if tf > 1:
-                real = tf * (1 + norm) / (tf + norm)
-                times = min(REPEATS, math.ceil(real))
-                often = max(often, real / times)
-            for _ in range(times):
-                if j < 0:
-                    sums[lists[c]] += self.up[c]
-                else:
-                    plus(sums, self.weights[j], sums)
+            if row[c] < 0:
+                sums[lists[c]] += np.float32(self.idf[c] * tf * (1 + norm) / (tf + norm))
         if self.turn != self.found.turns:  # more is needed than before
             self.turn, self.levels = self.found.turns, {}
         one = (K1 + 1) / (1 + norm)
@@ -239,8 +244,7 @@ class _Scores:
         if level not in self.levels:
             self.levels[level] = self.needed(level)
         need = self.levels[level]
-        query = np.flatnonzero(sums >= (need if often == 1 else np.maximum(1, need / often * LOOSE)))
-        self.tries += len(query)
+        query = np.flatnonzero(sums >= need)
         if not len(query):
             return
         weight = lambda c: self.idf[c] * counts[c] * (K1 + 1) / (counts[c] + norm)
@@ -248,9 +252,9 @@ class _Scores:
         wide, few = [c for c in counts if row[c] >= 0], [c for c in counts if row[c] < 0]
         if wide:
             at = np.array([row[c] for c in wide])
-            met = (self.weights[at[:, None], query] if len(query) < self.n // 4 else self.weights[at][:, query]) > 0
-            score += np.array([weight(c) for c in wide]) @ met
-            matched += np.count_nonzero(met, axis=0).astype(np.int32)
+            met = self.asks[query[:, None], at]
+            score += met @ np.array([weight(c) for c in wide])
+            matched += met.sum(axis=1, dtype=np.int32)
         if few:
             for c in few:
                 self.rare[lists[c]] += weight(c)

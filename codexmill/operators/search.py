@@ -8,7 +8,6 @@ query never drags the longest lists along unless it has nothing else.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,7 +22,7 @@ from codexmill.functions import text as T
 from codexmill.functions.stem import stem, stem_udf
 from codexmill.operators import scan
 from codexmill.operators.scan import K1, MATCH_BONUS, B
-from codexmill.session import written
+from codexmill.session import tidy, written
 
 RRF_K, CANDIDATES, HEAD = 20, 200, 12
 #: Queries that are sent to every task at once; more of them are scanned in several passes.
@@ -302,15 +301,18 @@ def snippet(text: str, query: str, most: int = SNIPPET) -> str:
         return text[:most].strip() + "…"
     windows = [max(0, a - most // 6) for a in anchors]
     hits = [x for x in spans if x[2]]
-    best, lo, hi, inside = 0, 0, 0, Counter()
+    best, n, lo, hi, inside = 0, 0, 0, 0, dict.fromkeys(wanted, 0)
     for s in windows:  # both ends only move on
         while hi < len(hits) and hits[hi][1] <= s + most:
-            inside.update(hits[hi][2])
+            for t in hits[hi][2]:
+                n += not inside[t]
+                inside[t] += 1
             hi += 1
         while lo < hi and hits[lo][0] < s:
-            inside.subtract(hits[lo][2])
+            for t in hits[lo][2]:
+                inside[t] -= 1
+                n -= not inside[t]
             lo += 1
-        n = sum(c > 0 for c in inside.values())
         if n > best:
             best, start = n, s
     start = windows[0] if not best else start
@@ -368,8 +370,9 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = No
     queries may carry q, the quantised vector of the query. Chunks of deleted documents (doc_id) never come out.
     """
     live = chunks if deleted is None else chunks.join(deleted.select("doc_id").distinct(), "doc_id", "left_anti")
-    live = written(live, "live")  # both legs and the refinement read it
-    queries = written(queries, "queries")
+    with tidy(chunks.sparkSession):
+        live = written(live, "live")  # both legs and the refinement read it
+        queries = written(queries, "queries")
     lexical = bm25_texts(queries, live, CANDIDATES, stems)
     if vectors is None or "q" not in queries.columns:
         return refine(lexical, live, queries, options)
